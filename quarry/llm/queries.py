@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from quarry.llm.decontamination import OP9_SQL, op9_decontamination
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.sharding import op1_sharding
+from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.urls import op3_urls
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_urls": op3_urls,
     "op7_mixing": op7_mixing,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {
     "op7_mixing": OP7_SQL,
+    "op9_decontamination": OP9_SQL,
 }
