@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, read
+from quarry.llm.common import materialize, mix64, read
 
 #: Signs that stand for letters in disguised words (fixed values).
 LOOKALIKES = {
@@ -30,7 +31,8 @@ FILLERS = ".-_*~'`^·,/\\"
 COSTS = {"lookalike": -0.7, "filler": -0.3, "two": -0.3, "one": -0.2, "close": -0.1, "gap": -2.5}
 
 CLASSES = 28  # 0: edge of a word, 1 to 26: a to z, 27: any other letter
-_EDGES = "".join(FILLERS) + "!?:;\"()[]{}<>«»…¿¡|"
+_EDGES = FILLERS + "!?:;\"()[]{}<>«»…¿¡|%&#=^"
+_TAIL = re.compile(r"([^\w\s])\1{2,}\Z")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
@@ -108,11 +110,16 @@ def viterbi(positions: list[list[tuple[str, float]]], model: CharModel) -> str:
     return "".join(reversed(parts))
 
 
+def core_of(token: str) -> str:
+    """The token without punctuation at its edges and without a run of one sign at its end."""
+    return _TAIL.sub("", token.strip(_EDGES)).strip(_EDGES)
+
+
 def suspicious(token: str) -> bool:
     """Whether a token without white space may be disguised: letters along with signs inside, or a letter three times in a row."""
     if _PLAIN.match(token):
         return bool(_STRETCHED.search(token))
-    core = token.strip(_EDGES)
+    core = core_of(token)
     return bool(_LETTER.search(core)) and not _PLAIN.match(core) or bool(_STRETCHED.search(core))
 
 
@@ -127,7 +134,7 @@ class Restorer:
         if found is None:
             if len(self.seen) >= self.most:
                 self.seen.clear()
-            found = self.seen[token] = viterbi(lattice(token.strip(_EDGES) or token), self.model) if suspicious(token) else token
+            found = self.seen[token] = viterbi(lattice(core_of(token)), self.model) if suspicious(token) else token
         return found
 
     def spread(self, text: str) -> list[str]:
@@ -201,50 +208,67 @@ class ToxicityModel:
 
 
 class Scorer:
+    """Scores texts. Plain words, nearly all, are looked up directly; tokens that may be disguised are restored and remembered."""
+
     def __init__(self, model: ToxicityModel):
         self.model, self.restorer, self.hits = model, Restorer(model.chars), {}
 
-    def found(self, token: str) -> tuple[str, ...]:
+    def of_words(self, words: list[str]) -> set[str]:
+        known = self.model.weights
+        return {f for w in words for f in features_of_word(w) if f in known}
+
+    def disguised(self, token: str) -> set[str]:
         hit = self.hits.get(token)
         if hit is None:
-            if len(self.hits) >= 400_000:
+            if len(self.hits) >= 200_000:
                 self.hits.clear()
-            words = _WORD.findall(self.restorer.token(token)) + (_WORD.findall(token) if suspicious(token) else [])
-            hit = self.hits[token] = tuple({f for w in words for f in features_of_word(w) if f in self.model.weights})
+            hit = self.hits[token] = self.of_words(_WORD.findall(self.restorer.token(token)) + _WORD.findall(token))
         return hit
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
-        found = {f for token in set(low.split()) for f in self.found(token)}
+        known = self.model.weights
+        stretched = bool(_STRETCHED.search(low))
+        found: set[str] = set()
+        for token in set(low.split()):
+            word = token if token.isalpha() else token.strip(_EDGES)
+            if not word.isalpha() or stretched and _STRETCHED.search(word):
+                if word:
+                    found |= self.disguised(token)
+                continue
+            for f in (f"={word}", word[:4], word[:5], word[:6]):
+                if f in known and len(f) < len(word) + (f[0] == "=") * 2:
+                    found.add(f)
         for run in self.restorer.spread(low):
-            found.update(f for w in _WORD.findall(run) for f in features_of_word(w) if f in self.model.weights)
+            found |= self.of_words(_WORD.findall(run))
         rest = 1 - self.model.base
         for f in sorted(found):
-            rest *= 1 - self.model.weights[f]
+            rest *= 1 - known[f]
         return 1 - rest
 
 
-def document_features(restorer: Restorer, cache: dict, text: str | None) -> set[str]:
+def _shingles(text: str | None) -> np.ndarray:
+    words = (text or "").lower().split()
+    return np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64)
+
+
+def document_features(restorer: Restorer, text: str | None) -> set[str]:
     low = (text or "").lower()
     out: set[str] = set()
     for token in set(low.split()):
-        own = cache.get(token)
-        if own is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            own = cache[token] = tuple(f for w in _WORD.findall(restorer.token(token)) for f in features_of_word(w))
-        out.update(own)
+        word = token if token.isalpha() else token.strip(_EDGES)
+        for w in [word] if word.isalpha() and not _STRETCHED.search(word) else _WORD.findall(restorer.token(token)):
+            out.update(features_of_word(w))
     for run in restorer.spread(low):
         out.update(f for w in _WORD.findall(run) for f in features_of_word(w))
     return out
 
 
-def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_features: int = 4_000) -> ToxicityModel:
+def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_features: int = 20_000) -> ToxicityModel:
     """labelled (doc_id, text, toxic) -> a noisy-or model over few features.
 
-    A sample of most_rows labelled rows at most, drawn by a hash of doc_id, is used (the documented bound). Features are counted in it by task;
-    those far more common in toxic documents go on, most_features at most. Then features are chosen one by one, each for the likelihood it adds on documents that no chosen feature
-    covers yet; so words that merely stand in copies of one toxic text are explained away.
+    A sample of most_rows labelled rows at most, drawn by a hash of doc_id, is used (the documented bound). Features are counted in it by task; the most_features that tell most go on, and
+    _choose keeps those beyond chance, with copies of one text counted as one.
     """
     rows = labelled.count()
     if rows > most_rows:
@@ -252,11 +276,11 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
     labelled = materialize(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(24), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache = Restorer(chars), {}
+        restorer = Restorer(chars)
         sums: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                sums[toxic].update(document_features(restorer, cache, text.as_py()))
+                sums[toxic].update(document_features(restorer, text.as_py()))
         names = list(sums[1])
         yield pa.record_batch([pa.array(names, pa.string()), pa.array([sums[1][x] for x in names], pa.int64()), pa.array([0] * len(names), pa.int64())], ["f", "t", "c"])
         names = list(sums[0])
@@ -268,6 +292,7 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
         return ToxicityModel(chars, base=0.5 / (n0 + 1))
     rate = n1 / (n1 + n0)
     counts = labelled.mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = materialize(counts, "features")
     t, c = F.col("t"), F.col("c")
     share = (t + 0.01) / (t + c + 0.02)
     gain = t * F.log(share / rate) + c * F.log((1 - share) / (1 - rate))
@@ -276,47 +301,42 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
     index = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache = Restorer(chars), {}
+        restorer = Restorer(chars)
         for batch in batches:
             texts, toxic = batch.column(0), batch.column(1)
-            own = [sorted(index[f] for f in document_features(restorer, cache, x.as_py()) if f in index) for x in texts]
-            yield pa.record_batch([pa.array(own, pa.list_(pa.int32())), toxic.cast(pa.int32())], ["own", "toxic"])
-
-    seen = labelled.mapInArrow(present, "own array<int>, toxic int").groupBy("own", "toxic").count().collect()
-    return ToxicityModel(chars, *_choose(names, [(r["own"], r["toxic"], r["count"]) for r in seen], rate))
-
-
-def _choose(names: list[str], rows: list[tuple[list[int], int, int]], rate: float) -> tuple[float, dict[str, float]]:
-    """Greedy choice. A text that is repeated counts by the logarithm of its copies."""
-    weight = np.array([1 + math.log(n) for _, _, n in rows])
-    toxic = np.array([y for _, y, _ in rows], dtype=float)
-    holders: list[list[int]] = [[] for _ in names]
-    for d, (own, _, _) in enumerate(rows):
-        for f in own:
-            holders[f].append(d)
-    t = np.array([(weight[h] * toxic[h]).sum() if h else 0.0 for h in holders])
-    c = np.array([(weight[h] * (1 - toxic[h])).sum() if h else 0.0 for h in holders])
-    open_docs = np.ones(len(rows), dtype=bool)
-    least = math.log(len(names) + 1) + 5.0
-    chosen: dict[str, float] = {}
-    while True:
-        share = (t + 0.01) / (t + c + 0.02)
-        gain = np.where((share > 0.5) & (t >= 2), t * np.log(share / rate) + c * np.log((1 - share + 1e-9) / (1 - rate)), 0.0)
-        best = max(range(len(names)), key=lambda i: (round(gain[i], 6), len(names[i]), names[i]), default=None)
-        if best is None or gain[best] < least:
-            break
-        chosen[names[best]] = float((t[best] + 0.5) / (t[best] + c[best] + 1))
-        for d in holders[best]:
-            if open_docs[d]:
-                open_docs[d] = False
-                own = rows[d][0]
-                if toxic[d]:
-                    t[own] -= weight[d]
-                else:
-                    c[own] -= weight[d]
-    left = open_docs
-    base = ((weight * toxic)[left].sum() + 0.5) / (weight[left].sum() + 10)
-    return min(float(base), 0.2), chosen
+            own, keys = [], []
+            for x in texts:
+                features = document_features(restorer, x.as_py())
+                own.append(sorted(index[f] for f in features if f in index))
+                hashes = _shingles(x.as_py())
+                keys.append([int(mix64(hashes ^ np.uint64(i)).min() >> np.uint64(1)) if len(hashes) else i for i in range(4)])
+            yield pa.record_batch([pa.array(own, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), toxic.cast(pa.int32())], ["own", "keys", "toxic"])
+
+    seen = labelled.mapInArrow(present, "own array<int>, keys array<bigint>, toxic int").groupBy("own", "keys", "toxic").count().collect()
+    return ToxicityModel(chars, *_choose(names, [(r["own"], r["keys"], r["toxic"], r["count"]) for r in seen], counts.count()))
+
+
+def _choose(names: list[str], rows: list[tuple[list[int], list[int], int, int]], features: int) -> tuple[float, dict[str, float]]:
+    """rows (features held, min-hashes, toxic, copies) -> base rate and the chosen features' probabilities.
+
+    Documents that share any of their min-hashes with many others are copies of one text and share one document's weight. A feature is chosen if, under these weights, its toxic share
+    is beyond what chance does among that many features.
+    """
+    sizes: Counter[tuple[int, int]] = Counter()
+    for _, keys, _, n in rows:
+        sizes.update({(i, k): n for i, k in enumerate(keys)})
+    weight = np.array([n / max([1, *(sizes[i, k] for i, k in enumerate(keys))]) for _, keys, _, n in rows])
+    toxic = np.array([y for _, _, y, _ in rows], dtype=float)
+    rate = (weight * toxic).sum() / weight.sum()
+    t, c = np.zeros(len(names)), np.zeros(len(names))
+    for (own, _, y, _), w in zip(rows, weight, strict=True):
+        (t if y else c)[own] += w
+    share = (t + 0.01) / (t + c + 0.02)
+    gain = np.where(share > 0.5, t * np.log(share / rate) + c * np.log((1 - share) / (1 - rate)), 0.0)
+    chosen = {i for i in range(len(names)) if gain[i] >= math.log(features + 1) + 4.0}
+    rest = np.array([not chosen.intersection(own) for own, _, _, _ in rows], dtype=bool)
+    base = ((weight * toxic)[rest].sum() + 0.5) / (weight[rest].sum() + 10)
+    return min(float(base), 0.2), {names[i]: float((t[i] + 0.5) / (t[i] + c[i] + 1)) for i in sorted(chosen)}
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, least: float = 0.3) -> DataFrame:
