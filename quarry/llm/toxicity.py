@@ -148,9 +148,18 @@ class Restorer:
         return re.sub(r"\S+", lambda m: self.token(m.group(0)) if suspicious(m.group(0)) else m.group(0), low)
 
 
-def features_of_word(word: str) -> list[str]:
-    """The word itself, and its first four to six letters: words are inflected at their ends."""
-    return [f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) > n)]
+#: Words are inflected at their ends, so their first letters count as features too.
+PREFIXES = (4, 5, 6, 7, 8)
+
+
+def stem_of(feature: str) -> str:
+    return feature.split("#")[0].removeprefix("=")[:4]
+
+
+def features_of(words: set[str]) -> set[str]:
+    """Features of a document from its distinct words: each word, and each beginning of words, marked too if several words have it."""
+    starts = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
+    return {f"={w}" for w in words} | {f"{p}#1" for p in starts} | {f"{p}#2" for p, n in starts.items() if n > 1}
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -212,56 +221,64 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model, self.restorer, self.hits = model, Restorer(model.chars), {}
+        self.stems = {stem_of(f) for f in model.weights}
+        self.ranked = {f: (stem_of(f), i, p) for i, (f, p) in enumerate(model.weights.items())}
 
-    def of_words(self, words: list[str]) -> set[str]:
-        known = self.model.weights
-        return {f for w in words for f in features_of_word(w) if f in known}
-
-    def disguised(self, token: str) -> set[str]:
+    def disguised(self, token: str) -> tuple[str, ...]:
         hit = self.hits.get(token)
         if hit is None:
             if len(self.hits) >= 200_000:
                 self.hits.clear()
-            hit = self.hits[token] = self.of_words(_WORD.findall(self.restorer.token(token)) + _WORD.findall(token))
+            hit = self.hits[token] = tuple({*_WORD.findall(self.restorer.token(token)), *_WORD.findall(token)})
         return hit
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
-        known = self.model.weights
+        stems = self.stems
         stretched = bool(_STRETCHED.search(low))
-        found: set[str] = set()
+        words: set[str] = set()
         for token in set(low.split()):
             word = token if token.isalpha() else token.strip(_EDGES)
-            if not word.isalpha() or stretched and _STRETCHED.search(word):
-                if word:
-                    found |= self.disguised(token)
-                continue
-            for f in (f"={word}", word[:4], word[:5], word[:6]):
-                if f in known and len(f) < len(word) + (f[0] == "=") * 2:
-                    found.add(f)
+            if word.isalpha() and not (stretched and _STRETCHED.search(word)):
+                if word[:4] in stems:
+                    words.add(word)
+            elif word:
+                words.update(self.disguised(token))
         for run in self.restorer.spread(low):
-            found |= self.of_words(_WORD.findall(run))
+            words.update(_WORD.findall(run))
+        return self.combine(features_of({w for w in words if w[:4] in stems}))
+
+    def combine(self, features: set[str]) -> float:
+        """Noisy-or over the stems found; of the features of one stem the one that was chosen first counts."""
+        first: dict[str, tuple[int, float]] = {}
+        for f in features:
+            if f in self.ranked:
+                stem, i, p = self.ranked[f]
+                if stem not in first or i < first[stem][0]:
+                    first[stem] = (i, p)
         rest = 1 - self.model.base
-        for f in sorted(found):
-            rest *= 1 - known[f]
+        for stem in sorted(first):
+            rest *= 1 - first[stem][1]
         return 1 - rest
 
 
-def _shingles(text: str | None) -> np.ndarray:
-    words = (text or "").lower().split()
-    return np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64)
-
-
 def document_features(restorer: Restorer, text: str | None) -> set[str]:
     low = (text or "").lower()
-    out: set[str] = set()
+    words: set[str] = set()
     for token in set(low.split()):
         word = token if token.isalpha() else token.strip(_EDGES)
-        for w in [word] if word.isalpha() and not _STRETCHED.search(word) else _WORD.findall(restorer.token(token)):
-            out.update(features_of_word(w))
+        if word.isalpha() and not _STRETCHED.search(word):
+            words.add(word)
+        else:
+            words.update(_WORD.findall(restorer.token(token)))
     for run in restorer.spread(low):
-        out.update(f for w in _WORD.findall(run) for f in features_of_word(w))
-    return out
+        words.update(_WORD.findall(run))
+    return features_of(words)
+
+
+def _shingles(text: str | None) -> np.ndarray:
+    words = (text or "").lower().split()
+    return np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.uint64)
 
 
 def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_features: int = 20_000) -> ToxicityModel:
@@ -296,7 +313,7 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
     t, c = F.col("t"), F.col("c")
     share = (t + 0.01) / (t + c + 0.02)
     gain = t * F.log(share / rate) + c * F.log((1 - share) / (1 - rate))
-    kept = counts.where((t >= 3) & (share > min(0.5, 3 * rate))).withColumn("g", F.round(gain, 6)).orderBy(F.desc("g"), "f").limit(most_features)
+    kept = counts.where((t >= 3) & (share > 2 * rate)).withColumn("g", F.round(gain, 6)).orderBy(F.desc("g"), "f").limit(most_features)
     names = [r["f"] for r in kept.select("f").collect()]
     index = {f: i for i, f in enumerate(names)}
 
@@ -319,8 +336,8 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
 def _choose(names: list[str], rows: list[tuple[list[int], list[int], int, int]], features: int) -> tuple[float, dict[str, float]]:
     """rows (features held, min-hashes, toxic, copies) -> base rate and the chosen features' probabilities.
 
-    Documents that share any of their min-hashes with many others are copies of one text and share one document's weight. A feature is chosen if, under these weights, its toxic share
-    is beyond what chance does among that many features.
+    Documents that share any of their min-hashes with many others are copies of one text and share one document's weight. Features are grouped by stem. In a group they are chosen
+    one by one, each for what it tells about documents that no earlier one of its stem covers, as long as that is beyond what chance does among that many features; its probability is that among those documents.
     """
     sizes: Counter[tuple[int, int]] = Counter()
     for _, keys, _, n in rows:
@@ -328,15 +345,36 @@ def _choose(names: list[str], rows: list[tuple[list[int], list[int], int, int]],
     weight = np.array([n / max([1, *(sizes[i, k] for i, k in enumerate(keys))]) for _, keys, _, n in rows])
     toxic = np.array([y for _, _, y, _ in rows], dtype=float)
     rate = (weight * toxic).sum() / weight.sum()
-    t, c = np.zeros(len(names)), np.zeros(len(names))
-    for (own, _, y, _), w in zip(rows, weight, strict=True):
-        (t if y else c)[own] += w
-    share = (t + 0.01) / (t + c + 0.02)
-    gain = np.where(share > 0.5, t * np.log(share / rate) + c * np.log((1 - share) / (1 - rate)), 0.0)
-    chosen = {i for i in range(len(names)) if gain[i] >= math.log(features + 1) + 4.0}
-    rest = np.array([not chosen.intersection(own) for own, _, _, _ in rows], dtype=bool)
-    base = ((weight * toxic)[rest].sum() + 0.5) / (weight[rest].sum() + 10)
-    return min(float(base), 0.2), {names[i]: float((t[i] + 0.5) / (t[i] + c[i] + 1)) for i in sorted(chosen)}
+    holders: list[list[int]] = [[] for _ in names]
+    for d, (own, _, _, _) in enumerate(rows):
+        for f in own:
+            holders[f].append(d)
+    groups: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        groups.setdefault(stem_of(name), []).append(i)
+    least = math.log(features + 1) + 4.0
+    chosen: dict[str, float] = {}
+    covered = np.zeros(len(rows), dtype=bool)
+    for stem in sorted(groups):
+        own_covered = np.zeros(len(rows), dtype=bool)
+        while True:
+            best = None
+            for i in groups[stem]:
+                docs = [d for d in holders[i] if not own_covered[d]]
+                t = (weight[docs] * toxic[docs]).sum()
+                c = weight[docs].sum() - t
+                share = (t + 0.01) / (t + c + 0.02)
+                if share > 2 * rate:
+                    gain = t * math.log(share / rate) + c * math.log((1 - share) / (1 - rate))
+                    if gain >= least and (best is None or (round(gain, 6), len(names[i]), names[i]) > best[0]):
+                        best = ((round(gain, 6), len(names[i]), names[i]), i, float((t + 0.5) / (t + c + 1)))
+            if best is None:
+                break
+            chosen[names[best[1]]] = best[2]
+            own_covered[holders[best[1]]] = True
+        covered |= own_covered
+    base = ((weight * toxic)[~covered].sum() + 0.5) / (weight[~covered].sum() + 10)
+    return min(float(base), 0.2), chosen
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, least: float = 0.3) -> DataFrame:
