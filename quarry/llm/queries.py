@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.decontamination import OP9_SQL, op9_decontamination
+from quarry.llm.jaccard import OP10_SQL, op10_jaccard
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.sharding import op1_sharding
 from quarry.llm.toxicity import op2_toxicity
@@ -14,9 +15,11 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES = {
     "op7_mixing": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op10_jaccard": OP10_SQL,
 }
