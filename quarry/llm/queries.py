@@ -6,6 +6,7 @@ from quarry.llm.decontamination import OP9_SQL, op9_decontamination
 from quarry.llm.jaccard import OP10_SQL, op10_jaccard
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.sharding import op1_sharding
+from quarry.llm.suffix import op6_suffix
 from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.urls import op3_urls
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_urls": op3_urls,
+    "op6_suffix": op6_suffix,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
