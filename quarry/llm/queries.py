@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from quarry.llm.decontamination import OP9_SQL, op9_decontamination
 from quarry.llm.jaccard import OP10_SQL, op10_jaccard
+from quarry.llm.licenses import OP5_SQL, op5_licenses
 from quarry.llm.mixing import OP7_SQL, op7_mixing
+from quarry.llm.secrets import op4_secrets
 from quarry.llm.sharding import op1_sharding
 from quarry.llm.suffix import op6_suffix
 from quarry.llm.toxicity import op2_toxicity
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_urls": op3_urls,
+    "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_suffix": op6_suffix,
     "op7_mixing": op7_mixing,
     "op9_decontamination": op9_decontamination,
@@ -21,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_licenses": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_jaccard": OP10_SQL,
