@@ -1,4 +1,4 @@
 """Driver-facing queries over the test tables, with SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans import relational  # noqa: F401
+from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
