@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm.decontamination import OP9_SQL, op9_decontamination
 from quarry.llm.jaccard import OP10_SQL, op10_jaccard
 from quarry.llm.licenses import OP5_SQL, op5_licenses
+from quarry.llm.media import op8_media
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.secrets import op4_secrets
 from quarry.llm.sharding import op1_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_suffix": op6_suffix,
     "op7_mixing": op7_mixing,
+    "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
 }
