@@ -1,4 +1,4 @@
 """Driver-facing queries over the test tables, with SQL twins."""
 
-from quarry.plans import directory, relational  # noqa: F401
+from quarry.plans import directory, extraction, relational  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
