@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _TESTS_OWN_DIR: list[str] = []
 
@@ -32,15 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts lineage and survives a lost executor.
 
-    The files go when the driver's JVM ends.
+    release() deletes the files early; otherwise they go when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     schema = df.schema
     df.write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.quarry_path = path
+    return out
+
+
+def materialize_kinds(df: DataFrame, label: str, kinds: list[int]) -> dict[int, DataFrame]:
+    """As materialize, with a table for each value of the column kind, so that each can be released by itself."""
+    path = new_path(df.sparkSession, label)
+    schema = T.StructType([f for f in df.schema.fields if f.name != "kind"])
+    df.write.partitionBy("kind").parquet(path)
+    out = {}
+    for kind in kinds:
+        part = f"{path}/kind={kind}"
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(part)
+        there = where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(where)
+        out[kind] = df.sparkSession.read.schema(schema).parquet(part) if there else df.sparkSession.createDataFrame([], schema)
+        out[kind].quarry_path = part if there else None
+    return out
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that is deleted at the end."""
+    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "quarry_path", None)
+        if path:
+            spark = df.sparkSession
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            df.quarry_path = None
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

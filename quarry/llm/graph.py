@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, release
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             moved.join(target, F.col("next") == F.col("via"), "left").select("node", F.col("component").alias("old"), F.least("next", F.coalesce("beyond", "next")).alias("component")), "labels"
         )
         changed = jumped.where("old != component").limit(1).count()
+        release(labels, moved)
         labels = jumped.select("node", "component")
+        labels.quarry_path = jumped.quarry_path
         if not changed:
+            release(edges)
             return labels
     raise RuntimeError("components did not settle")

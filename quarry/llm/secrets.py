@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, read
 
-#: A word that may hold a secret: twelve or more characters of the alphabets that keys use, with a digit among them.
-CANDIDATE = r"(?=[^0-9]*[0-9])[A-Za-z0-9_+/=.@-]{12,}"
+#: A word that may hold a secret: twelve or more characters of the alphabets that keys use, with a digit among them, or a provider's key. It is tried only where such a run begins, so texts are read once.
+CANDIDATE = r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.@-]*+[0-9])[A-Za-z0-9_+/=.@-]{12,}|AKIA[0-9A-Z]{16}"
 #: Shapes of keys of known providers (fixed values).
 PROVIDER = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
 #: Words that announce a secret, and words that announce an example.

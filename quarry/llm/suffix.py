@@ -135,7 +135,7 @@ def _pack_anchors(bits: int, least: int):
             if rest.any():
                 rows.append({"bucket": -1, "h": b"", "span": b"", "key": key[rest].tobytes(), "pos": pos[rest].tobytes(), "before": before[rest].tobytes(), "after": after[rest].tobytes(), "many": b""})
             h, span, key, pos, before, after, many = (x[new] for x in (h, span, key, pos, before, after, many))
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            bucket = (mix64(h) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for a, b in zip(cut, cut[1:], strict=False):
                 cols = {"h": h, "span": span, "key": key, "pos": pos, "before": before, "after": after, "many": many.astype(np.uint8)}

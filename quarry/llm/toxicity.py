@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, mix64, read
+from quarry.llm.common import materialize, mix64, read, release
 
 #: Signs that stand for letters in disguised words (fixed values).
 LOOKALIKES = {
@@ -306,6 +306,7 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
     totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1:
+        release(labelled)
         return ToxicityModel(chars, base=0.5 / (n0 + 1))
     rate = n1 / (n1 + n0)
     counts = labelled.mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -330,7 +331,9 @@ def fit(labelled: DataFrame, chars: CharModel, most_rows: int = 20_000, most_fea
             yield pa.record_batch([pa.array(own, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), toxic.cast(pa.int32())], ["own", "keys", "toxic"])
 
     seen = labelled.mapInArrow(present, "own array<int>, keys array<bigint>, toxic int").groupBy("own", "keys", "toxic").count().collect()
-    return ToxicityModel(chars, *_choose(names, [(r["own"], r["keys"], r["toxic"], r["count"]) for r in seen], counts.count()))
+    features = counts.count()
+    release(labelled, counts)
+    return ToxicityModel(chars, *_choose(names, [(r["own"], r["keys"], r["toxic"], r["count"]) for r in seen], features))
 
 
 def _choose(names: list[str], rows: list[tuple[list[int], list[int], int, int]], features: int) -> tuple[float, dict[str, float]]:
