@@ -90,7 +90,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """word -> 64-bit hash, remembered for words seen before; forgets all when it holds `most` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
