@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -37,12 +39,25 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.quarry_path = path
     return out
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query ends: what it wrote is read instead of them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize_kinds(df: DataFrame, label: str, kinds: list[int]) -> dict[int, DataFrame]:
     """As materialize, with a table for each value of the column kind, so that each can be released by itself."""
     path = new_path(df.sparkSession, label)
