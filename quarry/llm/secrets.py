@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,42 +12,89 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, read
 
-#: A word that may hold a secret: twelve or more characters of the alphabets that keys use, with a digit among them, or a provider's key. It is tried only where such a run begins, so texts are read once.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.@-]*+[0-9])[A-Za-z0-9_+/=.@-]{12,}|AKIA[0-9A-Z]{16}"
 #: Shapes of keys of known providers (fixed values).
-PROVIDER = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
+SHAPES = r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)"
+PROVIDER = f"^{SHAPES}$"
+_KEY = rf"(?<![A-Za-z0-9]){SHAPES}(?![A-Za-z0-9])"
+#: A word that may hold a secret: twelve or more characters of the alphabets that keys use, with a digit among them, or a provider's key. It is tried only where such a run begins, so texts are read once.
+CANDIDATE = rf"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.@-]*+[0-9])[A-Za-z0-9_+/=.@-]{{12,}}|AKIA[0-9A-Z]{{16}}|{_KEY}"
+#: The runs of such a word, from eight characters on, and the values of a run: provider's keys, and what stands between = signs, without names that have no digit.
+RUN = CANDIDATE.replace("{12,}", "{8,}", 1)
+VALUE = rf"{_KEY}|(?<![A-Za-z0-9_+/.@-])(?:(?=[A-Za-z_+/.@-]*+[0-9])(?:(?!{_KEY})[A-Za-z0-9_+/.@-])++|(?:(?!{_KEY})[A-Za-z_+/.@-])++(?!=+[A-Za-z0-9_+/.@-]))(?:=++(?![A-Za-z0-9_+/.@-]))?"
 #: Words that announce a secret, and words that announce an example.
 ANNOUNCES = r"(?i)pass|pwd|secret|token|key|auth|bearer|credential"
 EXAMPLE = r"(?i)example|sample|dummy|test|placeholder|changeme|xxxx|your"
 
+#: An announcing word's end, the sign that ties it to its value, and a value in whatever signs it has.
+_NAMED = rf"(?i:{ANNOUNCES[4:]})[A-Za-z0-9_.-]*[\"'`)\]]*"
+_TIE = r"(?:=+>?|:=?|->|>)"
+_OPEN = r"[\"'`(\[{<]*"
+_ANY = r"([^\s\"'`,;&<>(){}\[\]|]+)"
+ASSIGNED = _NAMED + _TIE + _OPEN + _ANY
+
 FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "letter_digit", "distinct", "longest_letters", "coverage", "path_example", "path_config", "before_announces", "before_assigns", "own_announces", "near_example", "quoted", "mail", "dotted"]
 
 
+def _announced(before: Column, before2: Column) -> Column:
+    """Whether the words before tie an announcing word to the next word: password: x, password = x, password is x, --password x, Bearer x."""
+    tied = before.rlike(_NAMED + _TIE + _OPEN + "$") | before.rlike(r"(?i)(?:^|[^A-Za-z])bearer$|^--?[a-z_-]*(?:" + ANNOUNCES[4:] + ")[a-z_-]*$")
+    return tied | (before.rlike(rf"(?i)^(?:{_TIE}|is|was|basic)$") & before2.rlike(_NAMED + ":?$"))
+
+
+def _bare(value: Column) -> Column:
+    """A value of any signs without those at its edges, if key characters are left alone; otherwise as it is, without full stops at its end."""
+    core = F.regexp_replace(value, r"^[^A-Za-z0-9_+/.@-]+|[^A-Za-z0-9_+/=@-]+$", "")
+    return F.when(core.rlike(r"^[A-Za-z0-9_+/.@-]+=*$"), core).otherwise(F.regexp_replace(value, r"\.+$", ""))
+
+
 def find_candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """docs (doc_id, text, path) -> (doc_id, path, nth, word, value, before, before2, after): every word of every text that may hold a secret.
+    """docs (doc_id, text, path) -> (doc_id, path, nth, part, word, value, before, before2, after): every value of every text that may be a secret.
 
-    value is the part of the word behind the last = or : or quote. Texts without any candidate are not split into words.
+    nth is the number of the white-space word, part the value's number in it, word the part of the word between the signs , ; & | { } that holds the value. Values are all provider's keys and
+    key-like runs of eight characters on in words with a CANDIDATE, whatever signs stand around them. What an announcing word is tied to, by a sign, as a flag, by "is" or as Bearer, is a value without
+    a digit or a length. Texts with neither are not split into words.
     """
     words = F.split(F.col("text"), r"[\s]+")
+    # Neighbours stand beside each word, so that no word splits the text again.
+    beside = F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("b"), F.concat(F.array(F.lit(""), F.lit("")), words).alias("b2"), F.slice(words, F.lit(2), F.size(words)).alias("a"))
+    near = lambda x: (x["b"].rlike(ANNOUNCES) | x["b2"].rlike(ANNOUNCES)) & _announced(x["b"], x["b2"])
     at = F.transform(
-        words,
-        lambda w, i: F.when(
-            w.rlike(CANDIDATE),
-            F.struct(i.alias("nth"), w.alias("word"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")),
+        beside,
+        lambda x, i: F.when(
+            x["w"].isNotNull() & (x["w"].rlike(CANDIDATE) | x["w"].rlike(ASSIGNED) | near(x)),
+            F.struct(i.alias("nth"), x["w"].alias("whole"), x["b"].alias("before"), x["b2"].alias("before2"), F.coalesce(x["a"], F.lit("")).alias("after")),
         ),
     )
-    found = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", (F.col(path).cast("string") if path else F.lit("")).alias("path"), F.explode(F.filter(at, lambda x: x.isNotNull())).alias("c"))
-    value = F.regexp_extract("c.word", r"([A-Za-z0-9_+/.@-]+=*)[\"',;:.)\]]*$", 1)
-    return found.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "c.*", value.alias("value")).where(F.length("value") >= 8)
+    may = F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ANNOUNCES)
+    found = docs.where(may).select("doc_id", (F.col(path).cast("string") if path else F.lit("")).alias("path"), F.explode(F.filter(at, lambda x: x.isNotNull())).alias("c")).select("doc_id", "path", "c.*")
+    found = found.withColumn("_runs", F.col("whole").rlike(CANDIDATE))
+
+    def values(clause: Column) -> Column:
+        runs = F.when(F.col("_runs"), F.regexp_extract_all(clause, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        keys = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(VALUE), F.lit(0))))
+        keys = F.filter(F.transform(keys, lambda v: F.regexp_replace(v, r"\.+$", "")), lambda v: F.length(v) >= 8)
+        tied = F.transform(F.regexp_extract_all(clause, F.lit(ASSIGNED), F.lit(1)), _bare)
+        return F.transform(F.concat(keys, F.array_except(tied, keys)), lambda v: F.struct(clause.alias("word"), v.alias("value")))
+
+    clauses = F.filter(F.split("whole", r"[,;&|{}]+"), lambda c: c != "")
+    inside = F.flatten(F.transform(clauses, values))
+    first = _bare(F.regexp_extract("whole", "^" + _OPEN + _ANY, 1))
+    found = found.withColumn("_in", inside).withColumn("_first", F.when(_announced(F.col("before"), F.col("before2")) & ~F.col("whole").rlike("(?i)^(?:bearer|basic)$"), first))
+    # The word after an announcing word, unless its values are found already.
+    extra = F.when(F.col("_first").isNotNull() & (F.size("_in") == 0), F.array(F.struct(F.col("whole").alias("word"), F.col("_first").alias("value")))).otherwise(F.array().cast("array<struct<word:string,value:string>>"))
+    every = F.filter(F.concat("_in", extra), lambda x: x["value"] != "")
+    return found.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "nth", "before", "before2", "after", F.posexplode(every).alias("part", "x")).select(
+        "doc_id", "path", "nth", "part", "x.word", "before", "before2", "after", "x.value"
+    )
 
 
-def dictionary(docs: DataFrame, least: int = 20, most: int = 100_000) -> DataFrame:
-    """(piece): words of three or more letters that stand in at least `least` of all texts, the `most` commonest.
+def dictionary(docs: DataFrame, share: float = 0.002, least: int = 20) -> DataFrame:
+    """(piece): words of three or more letters that stand in at least `share` of all texts, and in no fewer than `least`, which rules below 10 000 texts.
 
     Counted over whole texts; partial counts come before the shuffle, and each text's repeats fold first.
     """
     letters = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,12}"), F.lit(0)))).alias("piece")
-    return docs.select(letters).groupBy("piece").count().where(F.col("count") >= least).orderBy(F.desc("count"), "piece").limit(most).select("piece")
+    return docs.select(letters).groupBy("piece").count().where(F.col("count") >= max(least, math.ceil(share * docs.count()))).select("piece")
 
 
 def describe(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -55,7 +104,7 @@ def describe(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1")
     runs = F.regexp_replace(F.regexp_replace(kinds, r"(.)\1+", "$1"), r"[^aB1]", "s")
     letters = F.regexp_extract_all(F.lower(v), F.lit("[a-z]{3,}"), F.lit(0))
-    base = candidates.withColumn("_id", F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "nth", "word", "before", "path"), 256))
+    base = candidates.withColumn("_id", F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "nth", "part", "word", "before", "path"), 256))
     # A piece of the value is known if the dictionary has it; distinct pieces are looked up, not every occurrence.
     asked = base.select(F.explode(letters).alias("piece")).distinct().join(pieces, "piece", "left_semi").withColumn("known", F.lit(1))
     covered = (
@@ -120,9 +169,9 @@ def score_findings(described: DataFrame, forest: RandomForestClassificationModel
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str | None = "source", least: float = 0.5) -> DataFrame:
-    """docs (doc_id, text, path) -> a row for each candidate: doc_id, nth (word number), kind, length, value_sha256, probability, kept.
+    """docs (doc_id, text, path) -> a row for each candidate: doc_id, nth (word number), part (number in the word), kind, length, value_sha256, probability, kept.
 
-    labelled: (doc_id, nth, label) of known findings; without it the sure ones label themselves, rows held out as in held_out_findings not used. kept is false for what the forest takes for a false positive. Secrets are reported by their hash. Null and empty texts
+    labelled: (doc_id, nth, label) of known findings, with part where a word holds several; without it the sure ones label themselves, rows held out as in held_out_findings not used. kept is false for what the forest takes for a false positive. Secrets are reported by their hash. Null and empty texts
     have no candidates; repeated rows give repeated findings; an empty table or one without labels keeps all findings at probability 0.5.
     """
     found = materialize(find_candidates(docs, path), "candidates")
@@ -130,10 +179,11 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str |
     if labelled is None:
         rows = heuristic_labels(described).where(~held_out_findings(F.col("doc_id")))
     else:
-        rows = described.join(labelled.select("doc_id", "nth", "label"), ["doc_id", "nth"])
+        known = [c for c in ("doc_id", "nth", "part") if c in labelled.columns]
+        rows = described.join(labelled.select(*known, "label"), known)
     scored = score_findings(described, train_forest(rows))
     kind = F.when(F.col("value").rlike(PROVIDER), "provider").when(F.concat_ws("", "before", "word").rlike(ANNOUNCES), "assignment").otherwise("generic")
-    return scored.select("doc_id", "nth", kind.alias("kind"), F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= least).alias("kept"))
+    return scored.select("doc_id", "nth", "part", kind.alias("kind"), F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= least).alias("kept"))
 
 
 def held_out_findings(doc_id: Column) -> Column:

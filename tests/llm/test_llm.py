@@ -177,6 +177,29 @@ def test_secrets(spark, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_in_any_signs(spark):
+    akia, ghp = "AKIA" + "Q7" * 8, "ghp_" + "a1B" * 12
+    hexa = "0a1b2c3d4e" * 4
+    texts = [
+        (f'{{"token":"{ghp}"}}', [ghp]), (f"`{akia}`", [akia]), (f"<b>{akia}</b>", [akia]), (f"_{akia}_ **{akia}**", [akia, akia]), (f"the {akia}.", [akia]),
+        (f'token = "{hexa}"###', [hexa]), (f'TOKEN = "{hexa}"!!', [hexa]), (f"a={akia},b=hello1234", [akia, "hello1234"]), (f"a={akia}&b={ghp}|{hexa}", [akia, ghp, hexa]),
+        ("password=correct", ["correct"]), ("password: hunter", ["hunter"]), ("the password is P@ss!w0rd", ["P@ss!w0rd"]), ("run --token abc", ["abc"]), ("Authorization: Bearer abcdef", ["abcdef"]),
+        ('{"password":"hunter","user":"bob"}', ["hunter"]), ("x" * 8 + "1234==", ["x" * 8 + "1234=="]), ("a plain passing sentence about keys", []), ("user1=a.very.longword", ["a.very.longword"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "a") for i, (t, _) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {}
+    for r in secrets.find_candidates(docs).orderBy("doc_id", "nth", "part").collect():
+        got.setdefault(r["doc_id"], []).append(r["value"])
+    assert {i: got.get(i, []) for i in range(len(texts))} == {i: want for i, (_, want) in enumerate(texts)}
+    out = secrets.scan_secrets(docs).where("doc_id = 8").orderBy("part").collect()
+    assert [(r["nth"], r["part"], r["value_sha256"]) for r in out] == [(0, i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate((akia, ghp, hexa))]
+
+
+def test_dictionary_has_no_cap(spark):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
+    assert secrets.dictionary(docs).count() == 2 and secrets.dictionary(docs, share=1.1).count() == 0
+
+
 def test_licences(spark):
     mit = "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n\n".join(licenses.SENTENCES[k][0].capitalize() + "." for k in ("mit-grant", "mit-notice", "as-is", "no-liability"))
     rows = [(1, mit), (2, "x. Licensed under the Apache License, Version 2.0. y"), (3, None), (4, ""), (5, "Licensed under something else."), (6, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.")]
