@@ -100,31 +100,44 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 
-#: Where a sentence ends: at a stop before white space, or at the end of a line.
+#: Where a sentence ends in the SQL: at a stop before white space, or at the end of a line. marked() has these breaks too, and lets a known sentence go on over them.
 SPLIT = r"[.!?:]+[ \t\r\n]+|[\r\n]+"
 #: Every known sentence has one of these; other texts are not split.
-MARK = "(?i)licen|permission|redistribution|copyright|warranty|liable|mozilla|public domain|anyone is free|rights reserved|released under"
-
-
-def normalised(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
+MARK = r"(?i)licen|spdx|permission|redistribution|copyright|warrant|liable|mozilla|public[^a-z0-9]+domain|anyone[^a-z0-9]+is[^a-z0-9]+free|rights[^a-z0-9]+reserved|released[^a-z0-9]+under"
 
 
 def _ids() -> dict[str, str]:
     return {s: name for name, sentences in SENTENCES.items() for s in sentences}
 
 
+def _sentences() -> str:
+    """A pattern of all known sentences, longest first, in texts as marked() leaves them: from one break to another, over soft breaks inside."""
+    return r"(?<=[|/] )(?:" + "|".join(x.replace(" ", r" (?:\| )?") for x in sorted(_ids(), key=lambda x: (-len(x), x))) + r")(?= [|/])"
+
+
+def marked(text: Column) -> Column:
+    """The text as lower-case words with its breaks: / for a blank line (or one of comment marks only), | where a sentence or a line ends."""
+    lines = F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", " "), "\r\n?", "\n")
+    hard = F.regexp_replace(lines, r"\n[^A-Za-z0-9\n]*+\n[^A-Za-z0-9]*+", "\u0001")
+    soft = F.regexp_replace(hard, r"\n|[.!?:;]+(?=[ \t\u0001])", "\u0002")
+    words = F.regexp_replace(soft, "[^A-Za-z0-9\u0001\u0002]+", " ")
+    breaks = F.regexp_replace(words, "[ \u0002]*\u0001[ \u0001\u0002]*", " / ")
+    return F.concat(F.lit("/ "), F.trim(F.lower(F.regexp_replace(breaks, " *\u0002[ \u0002]*", " | "))), F.lit(" /"))
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of the text, in their order."""
     known = F.create_map(*[F.lit(x) for pair in sorted(_ids().items()) for x in pair])
-    ids = F.transform(F.split(text, SPLIT), lambda s: F.try_element_at(known, normalised(s)))
+    runs = F.regexp_extract_all(marked(text), F.lit(_sentences()), F.lit(0))
+    ids = F.transform(runs, lambda s: F.try_element_at(known, F.replace(s, F.lit(" |"), F.lit(""))))
     return F.when(text.rlike(MARK), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def recognise_licences(docs: DataFrame) -> DataFrame:
     """Adds sentence_ids (in order), licences (distinct, sorted) and leftover (identifiers no rule used) to docs (text, ...).
 
-    Sentences are normalised to lower-case words and looked up whole in a fixed table; the identifiers form one sequence, unknown sentences left out. Rules are tried in order; each takes
+    Texts are normalised to lower-case words, and known sentences of a fixed table are found from one break (a stop, colon, semicolon, line or paragraph end) to another; lines that were wrapped and stops inside a
+    known sentence do not cut it, blank lines do; the identifiers form one sequence, unknown sentences left out. Rules are tried in order; each takes
     every place where its identifiers follow one another and uses them up, so a full text is not also reported as the shorter notice inside it. All in one pass, without a shuffle. Null and empty texts
     have no sentences and no licences. Columns of the added names are replaced.
     """

@@ -208,6 +208,53 @@ def test_licences(spark):
     assert got[3]["licences"] == got[4]["licences"] == got[5]["licences"] == [] and got[6]["sentence_ids"] == ["mit-ref", "cc-by-nc-ref", "mit-ref"]
 
 
+def test_licences_as_published(spark):
+    import textwrap
+
+    wrapped = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    known = [(name, x) for name, xs in licenses.SENTENCES.items() for x in xs]
+    rows = [wrapped("Some words before. " + x[0].upper() + x[1:] + ". Some words after.", mark) for _, x in known for mark in ("", " * ", "# ")]
+    bsd = """Copyright (c) 2020, A
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    gpl = """ *  This program is free software: you can redistribute it and/or modify
+ *  it under the terms of the GNU General Public License as published by
+ *  the Free Software Foundation, either version 3 of the License, or
+ *  (at your option) any later version.
+ *
+ *  This program is distributed in the hope that it will be useful,
+ *  but WITHOUT ANY WARRANTY; without even the implied warranty of
+ *  MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ *  GNU General Public License for more details.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any\r
+purpose with or without fee is hereby granted, provided that the above\r
+copyright notice and this permission notice appear in all copies.\r
+"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License"); you
+# may not use this file except in compliance with the License. You may
+# obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+    full = [(bsd, ["BSD-2-Clause"]), (gpl, ["GPL-3.0-or-later"]), (isc, ["ISC"]), (apache, ["Apache-2.0"]), (mpl, ["MPL-2.0"]), ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"])]
+    full += [("SPDX-License-Identifier: MIT-0", []), ("Released under the\n\nMIT License and more", []), ("Licensed under the GNU General Public License version 3 or later.", [])]
+    docs = [(i, t) for i, t in enumerate(rows + [t for t, _ in full])]
+    got = {r["doc_id"]: r for r in licenses.recognise_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i]["sentence_ids"] for i in range(len(rows))] == [[name] for name, _ in known for _ in range(3)]
+    assert [got[len(rows) + i]["licences"] for i in range(len(full))] == [want for _, want in full]
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
