@@ -455,6 +455,17 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard.keep_one_of_each(odd).select("doc_id").where("doc_id = 5").count() == 0
 
 
+def test_jaccard_rows_without_own_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    far = lambda w, n, tag: " ".join(w[:n] + [f"{tag}{i}" for i in range(60 - n)])
+    middle, a, b = " ".join(words), far(words, 54, "a"), " ".join([f"b{i}" for i in range(6)] + words[6:])
+    docs = [(1, a), (None, middle), (None, middle), (2, b), (7, "x y z"), (7, "x y z"), (8, "one two"), (8, b), (None, "own"), (None, "own"), (None, None), (None, ""), (9, ""), (9, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert jaccard.jaccard_groups(frame).where("doc_id in (1, 2)").select("component_id").distinct().collect() == [(1,)]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(frame).collect()), key=str)
+    assert got == sorted([(1, a), (7, "x y z"), (8, "one two"), (None, "own"), (None, None), (None, ""), (9, ""), (9, "")], key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
