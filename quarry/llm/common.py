@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -23,10 +26,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; a cluster has no folder that every machine sees, so it is told."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _TESTS_OWN_DIR:
         _TESTS_OWN_DIR.append(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return _TESTS_OWN_DIR[0]
@@ -92,6 +98,14 @@ def release(*tables: DataFrame) -> None:
             df.quarry_path = None
 
 
+def give_back() -> None:
+    """Returns what a task no longer needs to the system: Python workers live on after a task, beside the executor's own memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads 64-bit keys over all bits."""
     with np.errstate(over="ignore"):

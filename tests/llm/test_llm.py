@@ -430,8 +430,11 @@ def _plain_groups(docs):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"small": 2, "cell": 4, "most_common": 30, "common_share": 0.01}])
-def test_jaccard(spark, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"cell": 8, "most_common": 30, "common_share": 0.01}, {"cell": 5, "most_common": 0}])
+def test_jaccard(spark, sizes, monkeypatch):
+    levels = []
+    cut = jaccard._cut_region
+    monkeypatch.setattr(jaccard, "_cut_region", lambda hundredths: levels.append(1) or cut(hundredths))
     random.seed(10)
     vocabulary = ["".join(random.choices("abcdef", k=4)) for _ in range(400)]
     make = lambda n: random.choices(vocabulary, k=n)
@@ -444,8 +447,18 @@ def test_jaccard(spark, sizes):
         docs.append((100 + i, " ".join(w)))
     docs += [(200 + i, " ".join(make(60) + passage + make(10))) for i in range(30)]
     docs += [(300 + i, " ".join(base)) for i in range(10)]
+    # Families near the threshold that share a rare passage, which makes them one region of several groups.
+    rare = [f"r{i}" for i in range(12)]
+    for f in range(6):
+        own = make(48)
+        for i in range(14):
+            w = list(own)
+            for _ in range(random.randint(0, 3)):
+                w[random.randrange(len(w))] = random.choice(vocabulary)
+            docs.append((1000 + 20 * f + i, " ".join(rare + w)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), **sizes).collect()}
     assert got == _plain_groups(docs)
+    assert len(levels) >= (2 if sizes.get("cell") == 5 else 0)
 
 
 def test_jaccard_odd(spark, odd, none):
