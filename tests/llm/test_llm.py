@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -278,7 +279,7 @@ def _plain_repeats(texts: list[bytes], least: int, keep_first: bool):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeats(spark, keep_first, hot):
+def test_repeats(spark, keep_first, hot, monkeypatch):
     random.seed(5)
     word = lambda: "".join(random.choices("abcdeé", k=random.randint(2, 9)))
     make = lambda n: " ".join(word() for _ in range(n))
@@ -286,9 +287,8 @@ def test_repeats(spark, keep_first, hot):
     texts = [base, base, base[:600] + make(5) + base[600:], make(40) + passage, passage + make(50), make(10) + passage[30:] + make(3), "", "ha " * 300, "x" * 199, "x" * 205, None, make(300)]
     texts += [make(20) + passage + make(20) for _ in range(8)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_removed", F.lit("clash"))
-    keyed = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    got = docs.drop("n_removed").join(suffix.repeat_runs(keyed, keep_first=keep_first, hot=hot), F.col("doc_id") == F.col("key"), "left").withColumn("c", suffix._cutter(False)("text", "runs"))
-    got = {r["doc_id"]: (r["c"]["n_bytes"], r["c"]["n_removed"], r["c"]["n_spans"], r["c"]["kept_sha256"]) for r in got.collect()}
+    monkeypatch.setattr(suffix, "repeat_runs", functools.partial(suffix.repeat_runs, hot=hot, crowded=3))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(docs, keep_first=keep_first).collect()}
     assert [got[i] for i in range(len(texts))] == _plain_repeats([(t or "").encode() for t in texts], 200, keep_first)
 
 
@@ -299,16 +299,22 @@ def test_repeats_odd(spark, odd, none):
     assert six["n_bytes"] == 1500 and six["n_removed"] > 1200
 
 
-def test_suffix_order():
+def test_longest_factors():
     rng = np.random.default_rng(1)
-    text = rng.integers(0, 3, 400).astype(np.uint8)
-    starts = np.arange(300)
-    order, rank = suffix.suffix_order(text, starts, 20)
-    assert order.tolist() == sorted(starts, key=lambda i: (text[i : i + 20].tobytes(), i))
-    earlier, later = suffix.has_factor(order, rank, starts)
+    text = rng.integers(0, 2, 400).astype(np.uint8)
+    starts = np.arange(380)
+    order, lcp = suffix.suffix_order(text, starts, 20)
     subs = [text[i : i + 20].tobytes() for i in starts]
-    assert [bool(x) for x in earlier] == [s in subs[:i] for i, s in enumerate(subs)]
-    assert [bool(x) for x in later] == [s in subs[i + 1 :] for i, s in enumerate(subs)]
+    shared = lambda x, y: next(d for d in (20, 10, 5, 0) if x[:d] == y[:d])
+    assert lcp.tolist() == [0, *(shared(subs[i], subs[j]) for i, j in zip(order, order[1:], strict=False))]
+    assert suffix.longest_factors(order, lcp).tolist() == [max((shared(s, x) for x in subs[:i]), default=0) for i, s in enumerate(subs)]
+    later = suffix.longest_factors(len(order) - 1 - order, lcp)[::-1]
+    assert later.tolist() == [max((shared(s, x) for x in subs[i + 1 :]), default=0) for i, s in enumerate(subs)]
+
+
+def test_merged_runs():
+    key, start, end = suffix.merged(np.array([2, 1, 1, 1, 2, 1]), np.array([0, 5, 0, 30, 9, 7]), np.array([9, 8, 5, 31, 12, 20]))
+    assert list(zip(key.tolist(), start.tolist(), end.tolist(), strict=True)) == [(1, 0, 20), (1, 30, 31), (2, 0, 12)]
 
 
 # 7 -----------------------------------------------------------------------------------------------------------------
