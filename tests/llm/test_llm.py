@@ -357,18 +357,38 @@ def test_targets_water_fill(spark):
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_media(spark):
+def _pictures(n: int) -> list[tuple[int, bytes]]:
     rng = np.random.default_rng(4)
     rows = []
-    for i in range(6):
+    for i in range(n):
         v = rng.normal(size=16).tolist()
-        rows += [(10 * i, media.draw(v, 0)), (10 * i + 1, media.draw(v, 1)), (10 * i + 2, media.draw(v, 2)), (10 * i + 3, media.draw(v, 0))]
-    rows += [(90, None), (91, b""), (92, b"P5\n3 3"), (93, b"nothing"), (94, media.encode(np.zeros((60, 60)))), (95, media.encode(np.zeros((60, 60))))]
-    got = {r["id"]: r["class_id"] for r in media.group_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
-    assert all(got[k] == k // 10 * 10 for k in got if k < 60) and got[90] == 90 and got[95] == 94
+        rows += [(10 * i + e, media.draw(v, e)) for e in range(media.EDITS + 1)] + [(10 * i + 9, media.draw(v, 0))]
+    return rows
+
+
+def test_media(spark):
+    rows = _pictures(12)
+    odd = [(900, None), (901, b""), (902, b"P5\n3 3"), (903, b"P5"), (904, b"nothing"), (905, b"P5\n9999999 9\n255\n"), (910, media.encode(np.zeros((60, 60)))), (911, media.encode(np.zeros((60, 60)))), (None, media.draw([9.0], 0)), (912, media.draw([9.0], 0)), (912, media.draw([9.0], 0)), (None, None)]
+    frame = spark.createDataFrame(rows + odd, "id long, image binary").withColumns({c: F.lit("x") for c in ("node", "k", "copies", "class_id")})
+    got = media.group_copies(frame).collect()
+    assert len(got) == len(rows + odd)
+    classes = {r["id"]: r["class_id"] for r in got if r["id"] is not None}
+    # Recall of each kind of edit at least 0.9, and no picture in the class of another.
+    for e in range(1, media.EDITS + 1):
+        assert np.mean([classes[10 * i + e] == 10 * i for i in range(12)]) >= 0.9, e
+    assert all(classes[i] // 10 == i // 10 for i, _ in rows) and all(classes[10 * i + 9] == 10 * i for i in range(12))
+    assert classes[900] == 900 and classes[902] == 902 and classes[911] == 910
+    assert Counter((r["class_id"], r["copies"]) for r in got if r["id"] in (None, 912)) == {(912, 3): 3, (None, 1): 1}
     assert media.group_copies(spark.createDataFrame([], "id long, image binary")).count() == 0
 
 
+def test_media_crowded_keys(spark):
+    rows = _pictures(5)
+    features = media.extract(spark.createDataFrame(rows, "node long, image binary"))
+    few = {r["node"]: r["component"] for r in media.link_images(features).collect()}
+    assert {r["node"]: r["component"] for r in media.link_images(features, small=1).collect()} == few and len(set(few.values())) == 5
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
