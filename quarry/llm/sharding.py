@@ -33,15 +33,24 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """As numpy's, and beyond its limit of 1e9 by the normal approximation, held to the possible range."""
+    """Good ones among n drawn. numpy draws up to its limit of 1e9; beyond, by inversion over all counts within 14 standard deviations of the mean: what lies outside is less than a double can tell."""
     if n == 0 or good == 0:
         return 0
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
+    return _by_inversion(rng, good, bad, n)
+
+
+def _by_inversion(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     total = good + bad
-    p = good / total
-    deviation = (n * p * (1 - p) * (total - n) / max(total - 1, 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, deviation)), max(0, n - bad)), min(n, good)))
+    mean = n * good / total
+    reach = 14 * (mean * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5 + 20
+    low, high = max(0, n - bad, int(mean - reach)), min(n, good, int(mean + reach))
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(float(bad - n) + k + 1)
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 1, rows_per_block: int = 20_000, least_blocks: int = 64, most_blocks: int = 65_536) -> DataFrame:
@@ -92,18 +101,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 1, rows_per_bl
     )
 
 
-def _digest(docs: DataFrame) -> DataFrame:
-    """What the contract's query needs of each document: nothing as long as its text."""
+def shard_with_digests(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """docs with shard and slot, and of each text its size (UTF-8 bytes plus 1; null: 1), its CRC and the law that holds. Columns of these names are replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.hex(F.xxhash64("text")).alias("text"))
-
-
-def shard_digests(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The contract's columns for docs; the text's hash stands for the text while rows are dealt."""
-    return shard_documents(_digest(docs), shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    placed = shard_documents(docs.drop("size", "text_crc32", "law", "grown_shard"), shards)
+    return placed.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The documents themselves are shuffled; the digests are taken of what arrives."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_with_digests(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
