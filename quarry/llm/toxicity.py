@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, mix64, read, release
+from quarry.llm.common import give_back, materialize, mix64, read, release
 
 #: Signs that stand for letters in disguised words (fixed values).
 LOOKALIKES = {
@@ -32,6 +32,10 @@ COSTS = {"lookalike": -0.7, "filler": -0.3, "two": -0.3, "one": -0.2, "close": -
 
 CLASSES = 28  # 0: edge of a word, 1 to 26: a to z, 27: any other letter
 _EDGES = FILLERS + "!?:;\"()[]{}<>«»…¿¡|%&#=^"
+#: Of these the ones that stand for no letter: only they are surely punctuation.
+_OUTER = "".join(c for c in _EDGES if c not in LOOKALIKES)
+#: A run of * or # up to this length may mask as many letters; a longer one is an ornament.
+MASK = 12
 _TAIL = re.compile(r"([^\w\s])\1{2,}\Z")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,8 +66,8 @@ class CharModel:
         return cls(np.log(tri))
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """Positions of the span, each with the strings it may stand for and their costs."""
+def lattice(span: str, letters_at_edges: bool = False) -> list[list[tuple[str, float]]]:
+    """Positions of the span, each with the strings it may stand for and their costs. A look-alike at an edge may be punctuation, unless letters_at_edges."""
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(span):
@@ -77,10 +81,11 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else COSTS["two"]), (c, -2.0 if n == 2 else COSTS["one"])])
         else:
             inner = 0 < i and j < len(span)
-            for _ in range(min(n, 3) if c in "*#" else min(n, 2)):
-                options = [(x, COSTS["lookalike"] - (2.0 if c in "*#" else 0.0)) for x in LOOKALIKES.get(c, "")]
-                if c in FILLERS or not options or not inner or out and n > 1:
-                    options.append(("", COSTS["filler"] - (1.5 if c in LOOKALIKES else 0.0)))
+            masks = c in "*#"
+            for _ in range((n if n <= MASK else 0) if masks else min(n, 2)):
+                options = [(x, COSTS["lookalike"] - (2.0 if masks else 0.0)) for x in LOOKALIKES.get(c, "")]
+                if c in FILLERS or not options or not inner and not letters_at_edges or out and n > 1:
+                    options.append(("", COSTS["filler"] - (1.5 if c in LOOKALIKES and inner else 0.0)))
                 out.append(options)
         i = j
     return out
@@ -111,8 +116,8 @@ def viterbi(positions: list[list[tuple[str, float]]], model: CharModel) -> str:
 
 
 def core_of(token: str) -> str:
-    """The token without punctuation at its edges and without a run of one sign at its end."""
-    return _TAIL.sub("", token.strip(_EDGES)).strip(_EDGES)
+    """The token without signs at its edges that stand for no letter and without a run of one sign at its end."""
+    return _TAIL.sub("", token.strip(_OUTER)).strip(_OUTER)
 
 
 def suspicious(token: str) -> bool:
@@ -123,6 +128,15 @@ def suspicious(token: str) -> bool:
     return bool(_LETTER.search(core)) and not _PLAIN.match(core) or bool(_STRETCHED.search(core))
 
 
+def at_edge(token: str) -> bool:
+    """Whether a look-alike stands at an edge of the token: it may be a letter of the word. A mark after a word is punctuation."""
+    return token[0] in LOOKALIKES or token[-1] in LOOKALIKES and token[-1] != "!"
+
+
+def edged(token: str, word: str) -> bool:
+    return len(word) < len(token) and at_edge(token)
+
+
 class Restorer:
     """Restores tokens and spread-out runs; remembers the tokens it has seen, up to a bound."""
 
@@ -137,6 +151,10 @@ class Restorer:
             found = self.seen[token] = viterbi(lattice(core_of(token)), self.model) if suspicious(token) else token
         return found
 
+    def at_edges(self, token: str) -> str:
+        """The reading in which look-alikes at the edges are letters of the word."""
+        return viterbi(lattice(core_of(token), True), self.model)
+
     def spread(self, text: str) -> list[str]:
         """Readings of runs of four or more single characters with gaps between them."""
         return [viterbi(lattice(m.group(0)), self.model) for m in _SPREAD.finditer(text)]
@@ -176,9 +194,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update((text.as_py() or "").lower().split())
-                if len(counts) > 300_000:
+                if len(counts) > 100_000:
                     yield out()
         yield out()
+        give_back()
 
     return texts.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -229,7 +248,8 @@ class Scorer:
         if hit is None:
             if len(self.hits) >= 200_000:
                 self.hits.clear()
-            hit = self.hits[token] = tuple({*_WORD.findall(self.restorer.token(token)), *_WORD.findall(token)})
+            more = _WORD.findall(self.restorer.at_edges(token)) if at_edge(token) else ()
+            hit = self.hits[token] = tuple({*_WORD.findall(self.restorer.token(token)), *_WORD.findall(token), *more})
         return hit
 
     def score(self, text: str | None) -> float:
@@ -242,6 +262,8 @@ class Scorer:
             if word.isalpha() and not (stretched and _STRETCHED.search(word)):
                 if word[:4] in stems:
                     words.add(word)
+                if edged(token, word):
+                    words.update(self.disguised(token))
             elif word:
                 words.update(self.disguised(token))
         for run in self.restorer.spread(low):
@@ -269,8 +291,10 @@ def document_features(restorer: Restorer, text: str | None) -> set[str]:
         word = token if token.isalpha() else token.strip(_EDGES)
         if word.isalpha() and not _STRETCHED.search(word):
             words.add(word)
-        else:
+        if not word.isalpha() or _STRETCHED.search(word) or edged(token, word):
             words.update(_WORD.findall(restorer.token(token)))
+            if at_edge(token):
+                words.update(_WORD.findall(restorer.at_edges(token)))
     for run in restorer.spread(low):
         words.update(_WORD.findall(run))
     return features_of(words)
@@ -387,6 +411,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, least: float = 0.3) -
         scorer = Scorer(model)
         for texts in batches:
             yield pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+        give_back()
 
     score = F.arrow_udf(run, "double").asNondeterministic()
     return docs.drop("score", "predicted").withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= least).cast("int"))
@@ -411,10 +436,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """docs (doc_id, text), labels (doc_id, toxic): the character model from all docs, the classifier from labels of rows that aren't held out.
 
-    Labels with null doc_id or null toxic are left out; a doc_id labelled twice counts as toxic if either label says so.
+    Labels with null doc_id, and those whose toxic is neither 0 nor 1, are left out; a doc_id labelled twice counts as toxic if either label says so, and a repeated row counts as often as it stands there.
+    With few labelled rows no feature is beyond chance, and every document gets the same score.
     """
     chars = train_char_model(docs)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return fit(docs.select("doc_id", "text").join(known, "doc_id"), chars)
 
 
