@@ -60,8 +60,18 @@ def test_matrix_is_hypergeometric():
     assert abs(draws.mean() - 25) < 0.6 and abs(draws.var() - 50 * 0.25 * 50 / 99) < 1.8
 
 
+def test_large_draws_are_hypergeometric():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((30, 50, 20), (4, 1000, 400), (700, 300, 950)):
+        draws = np.array([sharding._by_inversion(rng, good, bad, n) for _ in range(4000)])
+        want = np.random.default_rng(6).hypergeometric(good, bad, n, 40_000)
+        assert abs(draws.mean() - want.mean()) < 0.12 * want.std() + 0.01 and abs(draws.std() / want.std() - 1) < 0.06
+    m = sharding.communication_matrix([10**12, 3 * 10**11], 8, 1)
+    assert m.sum(1).tolist() == [10**12, 3 * 10**11] and np.ptp(m.sum(0)) == 0
+
+
 def test_shards(spark, odd, none):
-    got = sharding.shard_digests(odd).collect()
+    got = sharding.shard_with_digests(odd).collect()
     assert len(got) == len(ODD)
     by = Counter(r["shard"] for r in got)
     assert set(by) <= set(range(8)) and max(by.values()) - min(by[k] for k in range(8)) <= 1
@@ -70,8 +80,8 @@ def test_shards(spark, odd, none):
     for r in got:
         text = next((t or "") for i, t, *_ in ODD if i == r["doc_id"])
         assert r["size"] == len(text.encode()) + 1 and r["text_crc32"] == zlib.crc32(text.encode()) and r["grown_shard"] is None
-    assert sharding.shard_digests(none).count() == 0
-    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_digests(odd.repartition(5)).collect()}
+    assert sharding.shard_with_digests(none).count() == 0
+    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_with_digests(odd.repartition(5)).collect()}
     assert {x for x in again if x[0] != 4} == {(r["doc_id"], r["shard"], r["slot"]) for r in got if r["doc_id"] != 4}
 
 
@@ -94,9 +104,9 @@ def test_toxicity_learns_and_restores(spark):
     model = toxicity.train(docs, lab)
     scorer = toxicity.Scorer(model)
     restore = toxicity.Restorer(model.chars)
-    for disguised in ("1d10t", "i d i o t", "idiiiiot", "i.d.i.o.t", "ID!OT", "id-iot", "$cum", "cl0wn"):
+    for disguised in ("1d10t", "i d i o t", "idiiiiot", "i.d.i.o.t", "ID!OT", "id-iot", "$cum", "cl0wn", "!diot", "|d10t", "*diot", "(lown", "cl*wn", "i*iot"):
         assert scorer.score(f"ka ber {disguised} minka") >= 0.3, (disguised, restore.text(disguised))
-    assert scorer.score("ka ber minka onel") < 0.3
+    assert scorer.score("ka ber minka onel") < 0.3 and scorer.score("(ka) ber! minka, " + "*" * 5000 + " onel") < 0.3
     scored = toxicity.score_documents(docs, model).withColumn("h", toxicity.held_out(F.col("doc_id"))).join(lab, "doc_id").where("h").collect()
     assert sum(r["predicted"] == r["toxic"] for r in scored) >= 0.97 * len(scored)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "idiot " * 5000)], "doc_id long, text string")
@@ -148,11 +158,59 @@ def test_urls(spark):
     assert (got[7]["verdict"], got[8]["verdict"], got[9]["host"]) == ("allow", "block", "new.bad.xx")
 
 
-def test_shrinkage(spark):
-    outcomes = spark.createDataFrame([(f"h{i}.a.com", 20, 19) for i in range(8)] + [(f"h{i}.b.com", 20, 2) for i in range(8)] + [("new.a.com", 1, 0), ("new.b.com", 1, 1)], "host string, n long, good long")
-    got = {r["host"]: r for r in urls.reputations(outcomes).collect()}
-    assert got["new.a.com"]["mean"] > 0.7 > 0.3 > got["new.b.com"]["mean"]
-    assert all(r["bound"] < r["mean"] for r in got.values())
+def _plain_reputations(rows, z=1.0, least=1.0, most=1000.0):
+    """host -> (mean, bound) by loops: what goes down from a level leaves out the child's own pages."""
+
+    def strength(groups):
+        big_n, big_g = sum(n for n, _ in groups), sum(g for _, g in groups)
+        m = (big_g + 0.5) / (big_n + 1)
+        spread = sum(g * g / n for n, g in groups) - big_g * big_g / big_n
+        chance, slope = (len(groups) - 1) * m * (1 - m), big_n - sum(n * n for n, _ in groups) / big_n
+        return m, round(min(max(m * (1 - m) * slope / (spread - chance) - 1, least), most), 6) if slope > 0 and spread > chance else most
+
+    def summed(level):
+        out = {}
+        for h, n, g in rows:
+            a, b = out.get(level(h), (0, 0))
+            out[level(h)] = (a + n, b + g)
+        return out
+
+    domain = lambda h: ".".join(h.split(".")[-3 if h.endswith(".co.uk") else -2 :])
+    suffix = lambda h: domain(h).split(".", 1)[1]
+    ds, ss = summed(domain), summed(suffix)
+    m0, k0 = strength(list(ss.values()))
+    out = {}
+    for h, n, g in rows:
+        (dn, dg), (sn, sg) = ds[domain(h)], ss[suffix(h)]
+        _, k1 = strength([v for d, v in ds.items() if suffix(d) == suffix(h)])
+        _, k2 = strength([(n2, g2) for h2, n2, g2 in rows if domain(h2) == domain(h)])
+        m1 = (k0 * m0 + sg - dg) / (k0 + sn - dn)
+        m2 = (k1 * m1 + dg - g) / (k1 + dn - n)
+        mean = (k2 * m2 + g) / (k2 + n)
+        out[h] = (mean, mean - z * (mean * (1 - mean) / (k2 + n + 1)) ** 0.5)
+    return out
+
+
+def test_reputations(spark):
+    random.seed(8)
+    rows = [(f"h{i}.a.com", 20, 19) for i in range(8)] + [(f"h{i}.b.com", 20, 2) for i in range(8)] + [("new.a.com", 1, 0), ("new.b.com", 1, 1)]
+    rows += [(f"x{i}.org", 50, 45) for i in range(20)] + [("big.org", 5000, 4500)] + [(f"y{i}.org", 1, 1) for i in range(21)]
+    rows += [(f"www.{c}.co.uk", n, random.randint(0, n)) for c, n in zip("abcd", (1, 9, 30, 30), strict=True)]
+    known, _, _ = urls.reputations(spark.createDataFrame(rows, "host string, n long, good long"))
+    got = {r["host"]: (r["mean"], r["bound"]) for r in known.collect()}
+    want = _plain_reputations(rows)
+    assert {h: pytest.approx(v) for h, v in want.items()} == got
+    assert got["new.a.com"][0] > 0.7 > 0.3 > got["new.b.com"][0]
+    assert got["y0.org"][1] <= got["big.org"][1] + 0.02  # one good page is not trusted more than thousands at the same share
+    assert {r["d"] for r in spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("10.0.0.1:80",)], "h string").select(urls.registered_domain(F.col("h")).alias("d")).collect()} == {"b.co.uk", "co.uk", "b.com", "10.0.0.1"}
+
+
+def test_urls_odd(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None), (2, ""), (3, "http://" + "a" * 100_000)], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("rule", "verdict", "domain", "n")})
+    none = spark.createDataFrame([], "host string, n long, good long")
+    got = urls.judge_urls(pages, none).collect()
+    assert len(got) == 5 and {r["verdict"] for r in got} == {"block"} and {r["n"] for r in got} == {"clash"}
+    assert urls.judge_urls(pages.limit(0), none).count() == 0
 
 
 # 4, 5 ----------------------------------------------------------------------------------------------------------------
