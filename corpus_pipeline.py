@@ -1,7 +1,10 @@
 """A corpus pipeline over the training-data operators: each stage works on what the one before kept.
 
 toxicity: documents judged toxic go. near_duplicates: of each group of linked documents the one with the smallest doc_id stays. decontamination: documents that hold benchmark passages go.
-mixing: documents are taken as often as systematic sampling says (a document taken twice is there twice, one not taken goes). sharding: every row gets its shard and slot.
+mixing: documents are taken as often as systematic sampling says (a document taken twice is there twice, one not taken goes). sharding: every document gets its shard and slot, and digests of its text.
+
+Null, empty and repeated rows: a null or empty text is not toxic, links with nothing, holds no benchmark passage and has size 0, so mixing takes it as often as its offset says; of repeated rows near_duplicates keeps one;
+a null doc_id goes through all stages as a row of its own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from quarry.llm.common import read, shared_dir
 from quarry.llm.decontamination import find_contamination
 from quarry.llm.jaccard import keep_one_of_each
 from quarry.llm.mixing import mix_sources
-from quarry.llm.sharding import shard_digests
+from quarry.llm.sharding import shard_with_digests
 from quarry.llm.toxicity import score_documents, train
 
 
@@ -39,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_digests(docs)
+    return shard_with_digests(docs)
 
 
 STAGES = [
@@ -56,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before = None
     base = f"{shared_dir(spark)}/quarry-pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -65,5 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write.parquet(path)
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-        docs = spark.read.parquet(path)
+        docs, done, before = spark.read.parquet(path), before, jvm_path
+        if done is not None:  # what the stage before last wrote is read no more
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
