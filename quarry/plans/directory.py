@@ -370,44 +370,6 @@ def x3(t):
 # Reports --------------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "r2_listed_summary",
-    "SELECT p_brand, string_agg(p_type, ',' ORDER BY seq) AS listed FROM (SELECT p_brand, p_type, min(p_partkey) AS seq, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS rn FROM part GROUP BY 1, 2) WHERE rn <= 4 GROUP BY 1",
-)
-def r2(t):
-    key = F.array_join(F.array_sort(F.split(F.lower("p_type"), r"[^a-z0-9]+")), " ")
-    first = t.part.groupBy("p_brand", key.alias("k")).agg(F.min_by("p_type", "p_partkey").alias("p_type"), F.min("p_partkey").alias("seq"))
-    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("seq"))).where("rn <= 4")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "p_type"))), lambda x: x["p_type"])
-    return ranked.groupBy("p_brand").agg(F.array_join(listed, ",").alias("listed"))
-
-
-@query(
-    "r6_coverage_report",
-    f"""WITH {EDGES_SQL}, c AS (SELECT s_suppkey, coalesce(bool_or(published), false) AS has_capability, s_acctbal > 0 AS has_contact FROM supplier LEFT JOIN edges ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_acctbal)
-    SELECT count(*) AS suppliers, count(*) FILTER (has_contact) AS with_contact, count(*) FILTER (has_capability) AS with_capability, 100.0 * count(*) FILTER (has_contact) / count(*) >= 80 AS contact_gate, 100.0 * count(*) FILTER (has_capability) / count(*) >= 80 AS capability_gate FROM c""",
-)
-def r6(t):
-    has = edges(t).groupBy("l_suppkey").agg(F.bool_or("published").alias("has_capability"))
-    rows = t.supplier.join(has, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.coalesce("has_capability", F.lit(False)).alias("cap"), (F.col("s_acctbal") > 0).alias("con"))
-    out = rows.agg(F.count("*").alias("suppliers"), F.count_if("con").alias("with_contact"), F.count_if("cap").alias("with_capability"))
-    gate = lambda c: F.coalesce(100 * F.col(c) / F.col("suppliers"), F.lit(0.0)) >= 80
-    return out.withColumns({"contact_gate": gate("with_contact"), "capability_gate": gate("with_capability")})
-
-
-@query("r7_batch_report", "SELECT crawl, count(*) AS suppliers FROM (SELECT CASE WHEN count(l_orderkey) >= 600 THEN 'full' WHEN count(l_orderkey) > 0 THEN 'partial' ELSE 'failed' END AS crawl FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey) GROUP BY 1")
-def r7(t):
-    lines = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    rows = t.supplier.join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return rows.groupBy(F.when(F.coalesce("n", F.lit(0)) >= 600, "full").when(F.col("n") > 0, "partial").otherwise("failed").alias("crawl")).agg(F.count("*").alias("suppliers"))
-
-
-@query("r8_operational_metrics", "SELECT count(*) AS jobs, count(*) FILTER (o_orderstatus = 'F') AS done, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1)::DOUBLE AS success_pct FROM orders")
-def r8(t):
-    out = t.orders.agg(F.count("*").alias("jobs"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
-    return out.withColumn("success_pct", F.when(F.col("jobs") > 0, F.round(100.0 * F.col("done") / F.col("jobs"), 1)).otherwise(100.0))
-
-
 @query(
     "r9_funnel",
     "SELECT count(*) FILTER (event_type = 'view') AS viewed, count(*) FILTER (event_type = 'click') AS clicked, count(*) FILTER (event_type = 'purchase') AS quoted, count(*) FILTER ((props->>'k')::INT > 50) AS flagged, round(100.0 * count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type = 'view'), 0), 1)::DOUBLE AS click_rate FROM events",
@@ -423,15 +385,6 @@ def r10(t):
     return t.supplier.agg(F.count_if(F.col("s_acctbal") <= 0).alias("drafts"))
 
 
-@query("r15_table_counts", "SELECT 'supplier' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
-def r15(t):
-    counts = [getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("supplier", "customer", "orders", "lineitem")]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 @query(
     "v8_profile_qa",
     "SELECT c_nationkey AS supplier_id, 'DUPLICATE_SEGMENT' AS flag, c_mktsegment AS value FROM customer GROUP BY 1, 3 HAVING count(*) > 12 UNION ALL SELECT c_nationkey, 'MANY_PLACES', count(*)::VARCHAR FROM customer GROUP BY 1 HAVING count(*) > 60",

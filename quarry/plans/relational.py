@@ -285,12 +285,6 @@ def a7(t):
     )
 
 
-@query("a9_percentages", "SELECT o_orderpriority, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1)::DOUBLE AS finished_pct FROM orders GROUP BY 1")
-def a9(t):
-    share = F.when(F.count("*") > 0, F.lit(100.0) * F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).otherwise(0.0)
-    return t.orders.groupBy("o_orderpriority").agg(F.round(share, 1).alias("finished_pct"))
-
-
 @query("a10_averages", "SELECT s_nationkey, round(coalesce(sum(lines) / nullif(count(*), 0), 0), 6)::DOUBLE AS lines_per_supplier FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS lines FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey GROUP BY 1")
 def a10(t):
     lines = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("lines"))
@@ -458,11 +452,6 @@ def u2(t):
     return t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nk")).unionByName(t.customer.select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nk")))
 
 
-@query("u4_u7_except", "SELECT DISTINCT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size > 45 AND p_brand LIKE '%1'")
-def u4(t):
-    return t.part.select("p_type").distinct().join(t.part.where((F.col("p_size") > 45) & F.col("p_brand").endswith("1")).select("p_type"), "p_type", "left_anti")
-
-
 @query("u6_distinct_first_order", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY seq) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2) GROUP BY 1")
 def u6(t):
     first = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("seq"))
