@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\s   -     　﻿]"
 
 
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def strip(c: Column) -> Column:
     """Trims all Unicode white space, not only spaces."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

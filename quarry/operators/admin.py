@@ -83,19 +83,28 @@ def manual_outcomes(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return made.join(domains, "_d", "left").join(names, ["_n", "_c"], "left").select("row_id", outcome.alias("outcome"))
 
 
-def seed_companies(seeds: DataFrame, existing: DataFrame) -> DataFrame:
-    """seeds (seed_id, name, domain, city) against existing (supplier_id, name, domain) -> (seed_id, supplier_id, action, name, domain, city).
+def seed_matches(seeds: DataFrame, existing: DataFrame) -> DataFrame:
+    """(seed_id, supplier_id): companies whose domain is the seed's, or whose name holds the seed's name, without case.
 
-    A seed is a company whose domain is the same, or whose name holds the seed's: the first by supplier_id. It is then corrected to the seed's name, domain and city (CORRECT, or KEEP where nothing differs); else it
-    is inserted with a seeded head office (INSERT). Names that hold others meet by words of the name: a name that holds the seed's whole words holds its longest one. A seed is one or few words, so no word
-    brings all pairs of a table unless all companies share it.
+    Names meet by words: a name that holds the seed's holds its longest word, or a word with that one inside where the seed begins or ends within a word; for those the words' endings and beginnings count too.
+    A seed's words are few, so no word brings all pairs of a table unless all companies share it.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     longest = F.element_at(F.array_sort(F.transform(words(F.col("name")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
     asked = seeds.select("seed_id", F.lower(strip(F.col("name"))).alias("_seed"), F.lower("domain").alias("_domain"), longest.alias("_word"))
-    by_name = existing.select("supplier_id", F.lower("name").alias("_name"), F.explode(F.array_distinct(words(F.col("name")))).alias("_word")).join(asked, "_word").where(F.contains("_name", F.col("_seed"))).select("seed_id", "supplier_id")
+    inner = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda k: F.substr(w, i, k))))
+    held = F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("name")), inner))))
+    by_name = existing.select("supplier_id", F.lower("name").alias("_name"), held.alias("_word")).join(asked, "_word").where(F.contains("_name", F.col("_seed"))).select("seed_id", "supplier_id")
     by_domain = existing.where(or_empty(F.col("domain")) != "").select("supplier_id", F.lower("domain").alias("_domain")).join(asked, "_domain").select("seed_id", "supplier_id")
-    hit = by_name.unionByName(by_domain).groupBy("seed_id").agg(F.min("supplier_id").alias("supplier_id"))
+    return by_name.unionByName(by_domain).distinct()
+
+
+def seed_companies(seeds: DataFrame, existing: DataFrame) -> DataFrame:
+    """seeds (seed_id, name, domain, city) against existing (supplier_id, name, domain) -> (seed_id, supplier_id, action, name, domain, city).
+
+    The first of the seed's matches by supplier_id is corrected to the seed's name, domain and city (CORRECT, or KEEP where nothing differs); without a match the seed is inserted with a seeded head office (INSERT).
+    """
+    hit = seed_matches(seeds, existing).groupBy("seed_id").agg(F.min("supplier_id").alias("supplier_id"))
     found = seeds.join(hit, "seed_id", "left").join(existing.select("supplier_id", F.col("name").alias("_n"), F.col("domain").alias("_d")), "supplier_id", "left")
     same = F.col("name").eqNullSafe(F.col("_n")) & F.col("domain").eqNullSafe(F.col("_d"))
     return found.select("seed_id", "supplier_id", F.when(F.col("supplier_id").isNull(), "INSERT").when(same, "KEEP").otherwise("CORRECT").alias("action"), "name", "domain", "city")

@@ -17,15 +17,19 @@ def consolidate(claims: DataFrame) -> DataFrame:
     contradicted if some of its claims are negated in their evidence or page and some are not. A fact without source addresses has one source.
     """
     keyed = claims.withColumn("slug", fact_key(F.col("claim_type"), F.col("raw_value"), F.col("normalized_value"))).withColumn("neg", negated(F.concat_ws(" ", or_empty(F.col("evidence_text")), or_empty(F.col("page_text")))))
+    # First one row for each source, method and state of a fact, so that a hot fact costs what it has of these and not what it has of claims.
+    each = keyed.groupBy("supplier_id", "claim_type", "slug", "source_url", "extraction_method", "review_state").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("raw_value", "seq").alias("raw_value"), F.max("confidence").alias("confidence"), F.bool_or("neg").alias("neg"), F.bool_or(~F.col("neg")).alias("plain"), F.min("seq").alias("seq")
+    )
     in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(or_empty(F.col(c)) != "", F.struct("seq", c)))), lambda x: x[c]))
     state = lambda *s: F.bool_or(F.col("review_state").isin(*s))
-    facts = keyed.groupBy("supplier_id", "claim_type", "slug").agg(
-        F.count(F.lit(1)).alias("n_claims"),
+    facts = each.groupBy("supplier_id", "claim_type", "slug").agg(
+        F.sum("n").alias("n_claims"),
         F.min_by("raw_value", "seq").alias("raw_value"),
         in_order("source_url").alias("source_urls"),
         in_order("extraction_method").alias("methods"),
         F.max("confidence").alias("strongest_confidence"),
-        (F.bool_or("neg") & F.bool_or(~F.col("neg"))).alias("has_contradictions"),
+        (F.bool_or("neg") & F.bool_or("plain")).alias("has_contradictions"),
         F.when(state("APPROVED", "VERIFIED"), "APPROVED").when(state("AUTO_APPROVED"), "AUTO_APPROVED").when(state("AUTO_REJECTED"), "AUTO_REJECTED").when(state("HUMAN_REVIEW"), "HUMAN_REVIEW").otherwise("UNREVIEWED").alias("review_state"),
         F.min_by("extraction_method", "seq").alias("extraction_method"),
         F.min("seq").alias("seq"),

@@ -160,7 +160,8 @@ def contact_confidence(suppliers: DataFrame, contacts: DataFrame) -> DataFrame:
 def duplicate_signals(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidates (row_id, name, website, city, phone) against existing (supplier_id, name, domain, city, phone): status and matching signals of each candidate.
 
-    INVALID without name or city; a shared domain makes UPDATE_CANDIDATE; the same name, the first five letters of the name inside a name of the same city, or the same phone make POSSIBLE_DUPLICATE; else CREATE. Each signal is an equi join.
+    INVALID without name or city; a shared domain makes UPDATE_CANDIDATE; the same name, the first five letters of the name inside a name of the same city, or the same phone make POSSIBLE_DUPLICATE; else CREATE.
+    Each signal is an equi join; a beginning inside a name of the same city meets that city's runs of letters, each of which counts once however many companies have it.
     """
     from quarry.functions.text import domain_of, phone_of
 
@@ -169,8 +170,16 @@ def duplicate_signals(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     e = existing.select(F.col("supplier_id"), low(F.col("name")).alias("n"), F.lower("domain").alias("d"), low(F.col("city")).alias("c"), F.col("phone").alias("p"))
     valid = c.where((F.col("n") != "") & (F.col("c") != ""))
     hit = lambda on, label: valid.join(e.select(on, "supplier_id").where(F.col(on) != ""), on).select("row_id", F.lit(label).alias("signal"), "supplier_id")
-    similar = valid.select("row_id", "c", F.substring("n", 1, 5).alias("start")).join(e.select("c", "supplier_id", F.col("n").alias("other")), "c").where(F.contains("other", F.col("start")))
-    signals = hit("d", "domain").unionByName(hit("n", "name")).unionByName(hit("p", "phone")).unionByName(similar.select("row_id", F.lit("name_city").alias("signal"), "supplier_id"))
+    start = F.substring("n", 1, 5)
+    asked = valid.select("row_id", "c", start.alias("run")).withColumn("size", F.length("run"))
+    sizes = F.array(*[F.lit(i) for i in range(1, 6)])
+    runs = F.explode(F.flatten(F.transform(sizes, lambda k: F.when(F.length("n") >= k, F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substr("n", i, k))).otherwise(F.array().cast("array<string>")))))
+    # Shorter runs than five letters are only wanted where a name is that short.
+    short = asked.where(F.col("size") < 5).select("c", "size").distinct()
+    known = e.where(F.col("n") != "").select("c", runs.alias("run")).distinct().withColumn("size", F.length("run"))
+    wanted = known.where(F.col("size") == 5).unionByName(known.where(F.col("size") < 5).join(short, ["c", "size"], "left_semi"))
+    similar = asked.join(wanted, ["c", "run"], "left_semi").select("row_id", F.lit("name_city").alias("signal"), F.lit(None).cast(existing.schema["supplier_id"].dataType).alias("supplier_id"))
+    signals = hit("d", "domain").unionByName(hit("n", "name")).unionByName(hit("p", "phone")).unionByName(similar)
     found = signals.groupBy("row_id").agg(F.array_sort(F.collect_set("signal")).alias("signals"), F.min(F.when(F.col("signal").isin("domain", "name"), F.col("supplier_id"))).alias("matching_supplier"))
     status = F.when((F.col("n") == "") | (F.col("c") == ""), "INVALID").when(F.array_contains("signals", "domain"), "UPDATE_CANDIDATE").when(F.col("signals").isNotNull(), "POSSIBLE_DUPLICATE").otherwise("CREATE")
     return c.join(found, "row_id", "left").select("row_id", status.alias("status"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"), "matching_supplier")

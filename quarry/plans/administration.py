@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import admin as ad
 from quarry.operators import profile as pr
 from quarry.operators import reports as rp
+from quarry.operators.search import duplicate_signals
 from quarry.plans.registry import Tables, query
 from quarry.plans.relational import EDGES_SQL, edges
 
@@ -269,6 +270,47 @@ def d12(t):
     return ad.seed_companies(seeds(t), companies_with_domain(t))
 
 
+@query(
+    "j10_disjunctive_join",
+    f"WITH {SEEDS_SQL} SELECT DISTINCT seed_id, supplier_id FROM (SELECT seed_id, supplier_id FROM seed JOIN have ON contains(lower(have.name), lower(seed.name)) UNION ALL SELECT seed_id, supplier_id FROM seed JOIN have ON lower(have.domain) = lower(seed.domain))",
+)
+def j10(t):
+    """Name contains or domain equals: two joins on keys, then distinct."""
+    return ad.seed_matches(seeds(t), companies_with_domain(t))
+
+
+SIGNALS_SQL = f"""{CANDIDATES_SQL}, n AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'Supplier#' || lpad(row_id::VARCHAR, 9, '0') ELSE 'zz' || row_id END AS name, city, CASE WHEN row_id % 3 = 0 THEN 's' || row_id || '.example' END AS domain, CASE WHEN row_id % 6 = 0 THEN '506-555-0' || lpad((row_id % 900)::VARCHAR, 3, '0') END AS phone FROM cand),
+e AS (SELECT s_suppkey AS supplier_id, CASE WHEN s_suppkey % 7 = 0 THEN 'The azz' || s_suppkey ELSE s_name END AS name, 's' || s_suppkey || '.example' AS domain, s_nationkey::VARCHAR AS city, '506-555-0' || lpad((s_suppkey % 900)::VARCHAR, 3, '0') AS phone FROM supplier)"""
+
+
+@query(
+    "j8_signal_join",
+    f"""WITH {SIGNALS_SQL}, s AS (SELECT row_id, 'name' AS signal FROM n SEMI JOIN e ON lower(n.name) = lower(e.name) UNION ALL SELECT row_id, 'name_city' FROM n SEMI JOIN e ON n.city = e.city AND contains(lower(e.name), lower(left(n.name, 5)))
+      UNION ALL SELECT row_id, 'domain' FROM n SEMI JOIN e ON n.domain = e.domain UNION ALL SELECT row_id, 'phone' FROM n SEMI JOIN e ON n.phone = e.phone)
+    SELECT n.row_id, coalesce(string_agg(signal, ',' ORDER BY signal), '') AS signals FROM n LEFT JOIN s USING (row_id) GROUP BY 1""",
+)
+def j8(t):
+    """Four signals of candidates against companies, each a join on keys."""
+    k, text = F.col("row_id"), F.col("row_id").cast("string")
+    phone = lambda c: F.concat(F.lit("506-555-0"), F.lpad((c % 900).cast("string"), 3, "0"))
+    rows = candidates(t).select(
+        "row_id", F.when(k % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(text, 9, "0"))).otherwise(F.concat(F.lit("zz"), text)).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("https://s"), text, F.lit(".example"))).alias("website"), "city", F.when(k % 6 == 0, phone(k)).alias("phone"),
+    )
+    s = F.col("supplier_id")
+    existing = companies_with_domain(t).withColumn("name", F.when(s % 7 == 0, F.concat(F.lit("The azz"), s.cast("string"))).otherwise(F.col("name"))).withColumn("phone", phone(s))
+    existing = existing.join(t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").cast("string").alias("city")), "supplier_id")
+    return duplicate_signals(rows, existing).select("row_id", F.array_join("signals", ",").alias("signals"))
+
+
+@query("o5_match_first", "SELECT c_custkey % (SELECT count(*) FROM supplier) AS supplier_id, string_agg(c_custkey, ',' ORDER BY c_nationkey <> 3, c_custkey) AS places FROM customer GROUP BY 1")
+def o5(t):
+    """A company's places with those in the searched city first, the rest in their order."""
+    n = t.supplier.count()
+    places = t.customer.select((F.col("c_custkey") % n).alias("supplier_id"), F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("city"))
+    out = pr.nested(places, "places", [F.col("city") != 3, F.col("seq")], ["seq"])
+    return out.select("supplier_id", F.array_join(F.col("places.seq").cast("array<string>"), ",").alias("places"))
+
+
 def seeds(t: Tables) -> DataFrame:
     k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
     return t.customer.select(k.alias("seed_id"), F.when(k % 2 == 0, F.lpad(text, 9, "0")).otherwise("Nobody").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("S"), text, F.lit(".example"))).otherwise("other.example").alias("domain"), F.col("c_nationkey").cast("string").alias("city"))

@@ -125,7 +125,7 @@ def n8(t):
 
 @query(
     "d9_duplicate_signals",
-    """WITH c AS (SELECT c_custkey AS row_id, 'Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') AS n, c_nationkey AS k FROM customer WHERE c_custkey % 10 = 1),
+    """WITH c AS (SELECT c_custkey AS row_id, 'Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') AS n, c_nationkey AS k FROM customer),
     e AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier),
     s AS (SELECT row_id, 'name' AS signal, s_suppkey FROM c JOIN e ON lower(n) = lower(s_name)
       UNION ALL SELECT row_id, 'name_city', s_suppkey FROM c JOIN e ON k = s_nationkey AND contains(lower(s_name), lower(left(n, 5)))
@@ -136,7 +136,7 @@ def n8(t):
 )
 def d9(t):
     site = lambda k: F.when(k % 3 == 0, F.concat(F.lit("https://WWW.firm"), k.cast("string"), F.lit(".example/about")))
-    rows = t.customer.where("c_custkey % 10 = 1").select(
+    rows = t.customer.select(
         F.col("c_custkey").alias("row_id"), F.concat(F.lit("Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("name"), site(F.col("c_custkey")).alias("website"),
         F.col("c_nationkey").cast("string").alias("city"), F.lit(None).cast("string").alias("phone"),
     )
@@ -154,7 +154,9 @@ MAIL = r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]+"
 
 def mail_claims(t: Tables) -> DataFrame:
     """Addresses in the documents as contact claims of their source."""
-    found = t.documents.select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(MAIL), F.lit(0))).alias("i", "raw_value"))
+    # An address stands in one word, so only words with the sign are searched.
+    words = F.array_join(F.filter(F.split("text", " "), lambda w: F.contains(w, F.lit("@"))), " ")
+    found = t.documents.where(F.contains("text", F.lit("@"))).select("doc_id", "source", F.posexplode(F.regexp_extract_all(words, F.lit(MAIL), F.lit(0))).alias("i", "raw_value"))
     return found.select(
         F.col("source").alias("supplier_id"), F.lit("CONTACT").alias("claim_type"), "raw_value", F.lit(None).cast("string").alias("normalized_value"), F.lit("").alias("evidence_text"), F.lit("").alias("page_text"),
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("source_url"), F.when(F.col("doc_id") % 2 == 0, "MAILTO").otherwise("TEXT").alias("extraction_method"),

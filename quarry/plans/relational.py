@@ -182,17 +182,6 @@ def j7(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
 
 
-@query(
-    "j8_signal_join",
-    "SELECT DISTINCT a.s_suppkey AS candidate, b.s_suppkey AS existing, CASE WHEN a.s_nationkey = b.s_nationkey AND left(a.s_name, 12) = left(b.s_name, 12) THEN 'name_prefix_place' END AS signal FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND left(a.s_name, 12) = left(b.s_name, 12) AND a.s_suppkey < b.s_suppkey",
-)
-def j8(t):
-    """Theta join of candidates and existing companies, split into equi joins on the signal's keys."""
-    side = lambda p: t.supplier.select(F.col("s_suppkey").alias(p), "s_nationkey", F.substring("s_name", 1, 12).alias("prefix"))
-    met = side("candidate").join(side("existing"), ["s_nationkey", "prefix"]).where("candidate < existing")
-    return met.select("candidate", "existing", F.lit("name_prefix_place").alias("signal"))
-
-
 TERMS = ["rend", "that", "und", "les", "ción"]
 
 
@@ -206,14 +195,6 @@ def j9(t):
     return t.documents.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("term"))
 
 
-@query("j10_disjunctive_join", "SELECT DISTINCT a.s_suppkey AS seed, b.s_suppkey AS found FROM (SELECT * FROM supplier WHERE s_suppkey % 10 = 0) a JOIN supplier b ON a.s_name = b.s_name OR a.s_nationkey = b.s_nationkey")
-def j10(t):
-    seed = t.supplier.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("seed"), "s_name", "s_nationkey")
-    all_rows = t.supplier.select(F.col("s_suppkey").alias("found"), "s_name", "s_nationkey")
-    by_name = seed.join(all_rows, "s_name").select("seed", "found")
-    return by_name.unionByName(seed.join(all_rows, "s_nationkey").select("seed", "found")).distinct()
-
-
 @query(
     "j11_resolution_cascade",
     "SELECT c_custkey, CASE WHEN a.n_name IS NOT NULL THEN 'slug' WHEN b.n_name IS NOT NULL THEN 'name' ELSE 'none' END AS level, coalesce(a.n_name, b.n_name) AS resolved FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) a ON c_nationkey = a.n_nationkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) b ON 'NATION_' || c_nationkey = b.n_name",
@@ -440,13 +421,6 @@ def o4(t):
     return t.events.select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@query("o5_match_first", "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_nationkey = 3 THEN 0 ELSE 1 END, s_suppkey) AS place FROM supplier WHERE s_suppkey <= 1000")
-def o5(t):
-    """Matches move to the front and the rest keep their order; a report of bounded size, so one sorted task is right."""
-    by = Window.orderBy((F.col("s_nationkey") != 3).cast("int"), "s_suppkey")
-    return t.supplier.where("s_suppkey <= 1000").select("s_suppkey", F.row_number().over(by).alias("place"))
-
-
 @query("u2_union_all", "SELECT 'supplier' AS kind, s_nationkey AS nk FROM supplier UNION ALL SELECT 'customer', c_nationkey FROM customer")
 def u2(t):
     return t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nk")).unionByName(t.customer.select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nk")))
