@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.functions import urls as u
 from quarry.operators import claims as cl
+from quarry.operators import links as lk
 from quarry.operators import pages as pg
 from quarry.operators import search as se
 from quarry.plans.registry import Tables, query
@@ -243,10 +244,29 @@ def p5(t):
     return t.pages.select("page_id", u.crawlable(F.col("url"), F.lit("https://example.org")).alias("ok"))
 
 
-@query("p6_link_discovery", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
+LINKS_SQL = rf"""link AS (SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS seq, url FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages)),
+full_link AS (SELECT page_id, seq, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || href AS link, {HOST_SQL} || lower(regexp_replace(href, '/+$', '')) AS key, {HOST_SQL} || lower(regexp_replace({PATH_SQL}, '/+$', '')) AS own, href FROM link),
+good AS (SELECT * FROM full_link WHERE NOT regexp_matches(href, '(?i){"|".join(u.NOT_A_PAGE)}'))"""
+
+
+@query("p6_link_discovery", f"WITH {LINKS_SQL} SELECT page_id, key, arg_min(link, seq) AS link FROM good GROUP BY 1, 2")
 def p6(t):
-    links = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
-    return links.groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    """All pages of the same site that a page links to, once by page key."""
+    return lk.site_links(t.pages, ["page_id"]).select("page_id", "key", "link")
+
+
+CLASS_SQL = """CASE WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(about|company|who|history)') THEN 5 WHEN regexp_matches(lower(href), '(^|/)(our-)?([a-z]+-)?services?(-|$|/)') THEN 3 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(capabilit|expertise|specialt|what)') THEN 4
+  WHEN regexp_matches(lower(href), '(^|[^a-z0-9])product') THEN 9 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(industr|markets|sectors)') THEN 8 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(equip|machin|facilit|fleet)') THEN 6 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(certif|quality|accreditation)') THEN 7
+  WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(project|portfolio|gallery|work)') THEN 10 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(contact|contacts|contactus)([^a-z0-9]|$)') THEN 1 WHEN regexp_matches(lower(href), '(^|[^a-z0-9])(location|branch|office)|(^|[^a-z0-9])plants?([^a-z0-9]|$)') THEN 2 ELSE 12 END"""
+
+
+@query(
+    "p7_wanted_links",
+    f"WITH {LINKS_SQL}, one AS (SELECT page_id, key, arg_min(link, seq) AS link, arg_min(href, seq) AS href, min(seq) AS seq FROM good WHERE key <> own GROUP BY 1, 2) SELECT page_id, link, place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {CLASS_SQL}, len(list_filter(string_split(href, '/'), lambda x: x <> '')), seq) AS place FROM one) WHERE place <= 4",
+)
+def p7(t):
+    """The four links of each page that are worth most."""
+    return lk.wanted_links(t.pages, ["page_id"], most=4).select("page_id", "link", "place")
 
 
 @query("p8_low_value_bucket", rf"SELECT page_id, CASE WHEN len(list_filter(string_split({PATH_SQL}, '/'), lambda x: x <> '')) >= 3 THEN 'DEEP_OTHER' END AS bucket FROM pages")
