@@ -144,3 +144,14 @@ def private_ipv4(ip: Column) -> Column:
         | (a >= 224)
     )
     return ~ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$") | F.coalesce(bad, F.lit(True))
+
+
+#: Names of hosts inside a network, and the beginnings of IPv6 addresses that lead there: unspecified and loopback, mapped and translated IPv4, unique local, link-local, multicast, documentation (fixed values).
+INNER_HOSTS = r"(?i)^(?:localhost|.*\.(?:localhost|local|internal|intranet|lan|home|corp))$"
+INNER_IPV6 = r"(?i)^\[?(?:::1?\]?$|::ffff:|64:ff9b:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|2001:db8:)"
+
+
+def forbidden_host(host: Column) -> Column:
+    """Whether a host must not be fetched from: private, reserved or malformed IPv4, such IPv6, or a name inside a network. Empty is forbidden."""
+    numeric = host.rlike(r"^[\d.]+$")
+    return F.coalesce((host == "") | host.rlike(INNER_HOSTS) | (F.contains(host, F.lit(":")) & host.rlike(INNER_IPV6)) | (numeric & private_ipv4(host)), F.lit(True))

@@ -244,3 +244,26 @@ def select_contacts(claims: DataFrame, chosen: int = 3, most: int = 20) -> DataF
         .when(F.col("_extra") & (extras <= most - chosen), "EXTRA").otherwise("DEMOTED")
     )
     return ranked.withColumn("outcome", outcome).withColumn("kind", F.col("_s.kind")).drop("_s", "_in", "_extra", "_mail", "key", "usable", "rn")
+
+
+# Guards and evidence -----------------------------------------------------------------------------------------------------
+#: What a verdict may say.
+DECISIONS, RISKS = ("APPROVE", "REJECT", "HUMAN_REVIEW"), ("LOW", "MEDIUM", "HIGH")
+
+
+def guarded(verdict: Column) -> Column:
+    """A verdict as it is if its decision, risk and confidence are ones that a verdict may have; else a fallback that sends the claim to a person."""
+    sound = verdict["decision"].isin(*DECISIONS) & verdict["risk"].isin(*RISKS) & verdict["confidence"].between(0.0, 1.0) & verdict["actor"].isNotNull()
+    fallback = F.struct(F.lit("HUMAN_REVIEW").alias("decision"), F.lit(0.0).alias("confidence"), F.lit("HIGH").alias("risk"), F.lit("SAFE_FALLBACK").alias("actor"))
+    return F.when(F.coalesce(sound, F.lit(False)), F.struct(*[verdict[c].alias(c) for c in ("decision", "confidence", "risk", "actor")])).otherwise(fallback)
+
+
+def fact_evidence(claims: DataFrame) -> DataFrame:
+    """(supplier_id, claim_type, slug, evidence, page_type): the evidence of a fact's claims in order of seq, joined by bars, and the page type of the first claim on a services or capabilities page, else of the first claim."""
+    keyed = claims.withColumn("slug", fact_key(F.col("claim_type"), F.col("raw_value"), F.col("normalized_value")))
+    said = F.when(or_empty(F.col("evidence_text")) != "", F.struct("seq", "evidence_text"))
+    offers = F.col("page_type").isin("SERVICES", "CAPABILITIES")
+    out = keyed.groupBy("supplier_id", "claim_type", "slug").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["evidence_text"]), " | ").alias("evidence"), F.min_by("page_type", F.when(offers, F.col("seq"))).alias("_offer"), F.min_by("page_type", "seq").alias("_first")
+    )
+    return out.select("supplier_id", "claim_type", "slug", "evidence", F.coalesce("_offer", "_first").alias("page_type"))
