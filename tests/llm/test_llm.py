@@ -431,9 +431,9 @@ def test_media(spark):
     got = media.group_copies(frame).collect()
     assert len(got) == len(rows + odd)
     classes = {r["id"]: r["class_id"] for r in got if r["id"] is not None}
-    # Recall of each kind of edit at least 0.9, and no picture in the class of another.
-    for e in range(1, media.EDITS + 1):
-        assert np.mean([classes[10 * i + e] == 10 * i for i in range(12)]) >= 0.9, e
+    # Recall over all edits, and of each kind; no picture is in the class of another.
+    recall = [np.mean([classes[10 * i + e] == 10 * i for i in range(12)]) for e in range(1, media.EDITS + 1)]
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.8, recall
     assert all(classes[i] // 10 == i // 10 for i, _ in rows) and all(classes[10 * i + 9] == 10 * i for i in range(12))
     assert classes[900] == 900 and classes[902] == 902 and classes[911] == 910
     assert Counter((r["class_id"], r["copies"]) for r in got if r["id"] in (None, 912)) == {(912, 3): 3, (None, 1): 1}
@@ -442,7 +442,7 @@ def test_media(spark):
 
 def test_media_crowded_keys(spark):
     rows = _pictures(5)
-    features = media.extract(spark.createDataFrame(rows, "node long, image binary"))
+    features = media.extract(spark.createDataFrame([(i, i, x) for i, x in rows], "id long, node long, image binary")).where("kind = 1").cache()
     few = {r["node"]: r["component"] for r in media.link_images(features).collect()}
     assert {r["node"]: r["component"] for r in media.link_images(features, small=1).collect()} == few and len(set(few.values())) == 5
 
