@@ -12,7 +12,7 @@ from quarry.operators import links as lk
 from quarry.operators import pages as pg
 from quarry.operators import search as se
 from quarry.plans.registry import Tables, query
-from quarry.plans.relational import EDGES_SQL, RECIPIENTS_SQL, edges, recipients
+from quarry.plans.relational import EDGES_SQL, LINES_SQL, RECIPIENTS_SQL, edges, recipients
 
 # The directory over the driver's tables ------------------------------------------------------------------------------
 
@@ -289,11 +289,17 @@ def p15(t):
     return pg.reject_duplicate_pages(rows, "source", "url", "text", "doc_id").select("source", "doc_id")
 
 
-@query("p17_repeated_line_removal")
+@query(
+    "p17_repeated_line_removal",
+    f"""WITH {LINES_SQL}, rep AS (SELECT lines.source, line FROM lines JOIN n ON lines.source = n.source WHERE n.docs >= 3 GROUP BY 1, 2, n.docs HAVING count(*) >= greatest(3, ceil(0.02 * n.docs))),
+    cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    kept AS (SELECT doc_id, sum(length(l)) + count(*) - 1 AS chars FROM cut WHERE NOT EXISTS (SELECT 1 FROM rep WHERE rep.source = cut.source AND rep.line = lower(trim(l))) GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(chars, 0) END::BIGINT AS chars FROM documents d LEFT JOIN kept USING (doc_id)""",
+)
 def p17(t):
     """Documents of a source without the lines that stand on many of its pages."""
     out = pg.remove_repeated_lines(t.documents.select("source", "doc_id", "text"), "source", "doc_id", "text", share=0.02)
-    return out.select("doc_id", F.length("text").alias("chars"))
+    return out.select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query("t4_text_units")

@@ -168,7 +168,7 @@ def t2(t):
     return each(t, ["welded frames", "welders wanted", "weldable", "a weld"], lambda c: ex.find_phrase(c, "welding").isNotNull())
 
 
-@golden("t4_text_units", "value, result", [("One two. Three four.\nFive", "One two.|Three four.|Five"), ("no stop here", "no stop here"), ("", "")])
+@golden("t4_units_of_text", "value, result", [("One two. Three four.\nFive", "One two.|Three four.|Five"), ("no stop here", "no stop here"), ("", "")])
 def t4_units(t):
     return each(t, ["One two. Three four.\nFive", "no stop here", ""], lambda c: F.array_join(tx.text_units(c), "|"))
 
@@ -330,7 +330,7 @@ def c2(t):
     return each(t, ["Certified to CSA W47.1 Div 2", "CWB certified shop", "Canadian Welding Bureau", "CWB member", "ISO9001:2015", "COR certified", "ASME Section IX", "Gold Seal!"], lambda c: tx.certification_form(c)["slug"])
 
 
-@golden("c3_contact_form", "value, result", [("mailto:Sales@Firm.ca", "sales@firm.ca"), ("(555) 010-2030", "5550102030"), ("1-555-010-2030", "5550102030"), ("ext 5", "ext 5"), ("a%40b.ca", "a@b.ca"), ("%zz", "%zz")])
+@golden("c3_contact_cases", "value, result", [("mailto:Sales@Firm.ca", "sales@firm.ca"), ("(555) 010-2030", "5550102030"), ("1-555-010-2030", "5550102030"), ("ext 5", "ext 5"), ("a%40b.ca", "a@b.ca"), ("%zz", "%zz")])
 def c3_form(t):
     return each(t, ["mailto:Sales@Firm.ca", "(555) 010-2030", "1-555-010-2030", "ext 5", "a%40b.ca", "%zz"], lambda c: tx.contact_form(c, F.lit(None).cast("string")))
 

@@ -23,6 +23,9 @@ class Tables:
 def query(name: str, sql: str | None = None):
     """Registers f(tables) -> DataFrame under name."""
 
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
