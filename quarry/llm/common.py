@@ -45,30 +45,35 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     schema = df.schema
-    with shuffles_deleted(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.quarry_path = path
     return out
 
 
+#: While a table is written: a query's shuffle files go when it ends, as what it wrote is read instead of them, and Python workers get batches of whole texts that stay small.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when the query ends: what it wrote is read instead of them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize_kinds(df: DataFrame, label: str, kinds: list[int]) -> dict[int, DataFrame]:
     """As materialize, with a table for each value of the column kind, so that each can be released by itself."""
     path = new_path(df.sparkSession, label)
     schema = T.StructType([f for f in df.schema.fields if f.name != "kind"])
-    df.write.partitionBy("kind").parquet(path)
+    with writing(df.sparkSession):
+        df.write.partitionBy("kind").parquet(path)
     out = {}
     for kind in kinds:
         part = f"{path}/kind={kind}"
@@ -119,7 +124,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """word -> 64-bit hash, remembered for words seen before; forgets all when it holds `most` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

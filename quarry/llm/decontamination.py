@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER_ASCII, materialize, read
+from quarry.llm.common import LOWER_ASCII, give_back, materialize, read
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z; every byte keeps its place, so offsets carry over.
 _IN_WORD = [48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)]
@@ -84,6 +84,7 @@ def _scanner(items: list[tuple[str, str | None]], width: int):
         for texts in batches:
             rows = [scan(automaton, t.as_py()) for t in texts]
             yield pa.array([{"n_words": n, "n_hit": h, "items": i, "spans": [{"start": a, "end": b} for a, b in s]} for n, h, i, s in rows], _SCAN_TYPE)
+        give_back()
 
     return F.arrow_udf(run, SCAN).asNondeterministic()
 
