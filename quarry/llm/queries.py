@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from quarry.llm.clustering import OP12_SQL, op12_clustering
 from quarry.llm.decontamination import OP9_SQL, op9_decontamination
+from quarry.llm.filters import OP11_SQL, op11_filters
+from quarry.llm.fingerprints import op13_fingerprints
 from quarry.llm.jaccard import OP10_SQL, op10_jaccard
 from quarry.llm.licenses import OP5_SQL, op5_licenses
 from quarry.llm.media import op8_media
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard": op10_jaccard,
+    "op11_filters": op11_filters,
+    "op12_clustering": op12_clustering,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES = {
@@ -31,4 +37,6 @@ ORACLES = {
     "op7_mixing": OP7_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_jaccard": OP10_SQL,
+    "op11_filters": OP11_SQL,
+    "op12_clustering": OP12_SQL,
 }
