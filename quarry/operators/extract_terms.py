@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions import urls as u
-from quarry.operators.extract import find_phrase, match_context
+from quarry.operators.extract import match_context
+from quarry.operators.terms import dictionary_matches
 
 OWNERSHIP = r"(?i)\b(?:we\s+(?:have|own|operate|run|use)|our\s+(?:shop|facility|fleet|equipment|machines?)|equipped\s+with|capable\s+of|in-house|\d+\s*(?:ton|tons|t|ft|foot|feet|mm|in|inch|x)\b|capacity)"
 INDUSTRY_CONTEXT = r"(?i)\b(?:industr(?:y|ies)|sectors?|markets?|serv(?:e|es|ed|ing)|clients?|customers?|experience\s+in|work(?:ed)?\s+(?:in|with|for))\b"
@@ -47,20 +48,18 @@ def _best(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def _terms(rows: DataFrame, terms: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """rows with a row for each term found: slug, name, canonical, found, place. terms: (slug, name, other wording)."""
-    hits, place = [], 0
-    for slug, name, others in terms:
-        for phrase in [name, *others]:
-            stem = max((w for w in re.split(r"[\s&-]+", phrase.lower()) if w), key=len)[:4]
-            m = F.when(F.contains(F.lower("text"), F.lit(stem)), find_phrase(F.col("text"), phrase))
-            hits.append(F.when(m.isNotNull(), F.struct(F.lit(slug).alias("slug"), F.lit(name).alias("name"), F.lit(phrase == name).alias("canonical"), m["found"].alias("found"), F.lit(place).alias("place"))))
-            place += 1
-    return rows.withColumn("t", F.explode(F.array_compact(F.array(*hits)))).select("*", "t.*").drop("t")
+    """rows with a row for each term found: slug, name, canonical, found, at, place. terms: (slug, name, other wording), a dictionary of bounded size. Of a phrase's matches in a unit the first counts."""
+    phrases = [(slug, name, phrase) for slug, name, others in terms for phrase in [name, *others]]
+    term = F.element_at(F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(n).alias("name"), F.lit(p == n).alias("canonical")) for s, n, p in phrases]), F.col("m.i") + 1)
+    found = rows.withColumn("all", dictionary_matches(F.col("text"), [p for _, _, p in phrases]))
+    first = F.filter("all", lambda m, i: (i == 0) | (F.get("all", i - 1)["i"] != m["i"]))
+    met = found.withColumn("m", F.explode(first)).withColumn("t", term)
+    return met.select("*", "t.*", F.col("m.found").alias("found"), F.col("m.at").alias("at"), F.col("m.i").alias("place")).drop("all", "m", "t")
 
 
 def equipment_claims(parsed: DataFrame, keys: list[str], terms: list[tuple[str, str, list[str]]]) -> DataFrame:
     """Machines: 0.9 on equipment pages, 0.85 with wording of ownership or size, 0.72 else; 0.5 where they are sold or explained."""
-    met = _terms(units_of(parsed, keys), terms).withColumn("c", match_context(F.col("text"), F.col("found"))["context"])
+    met = _terms(units_of(parsed, keys), terms).withColumn("c", match_context(F.col("text"), F.col("found"), F.col("at"))["context"])
     page = (u.classify(F.col("url"), F.lit("")) == "EQUIPMENT") | F.col("url").rlike("(?i)/(?:equip|machin|facilit)")
     confidence = F.when(F.col("c").isin("RESALE", "EXPLANATION"), 0.5).when(page, 0.9).when(F.col("text").rlike(OWNERSHIP), 0.85).otherwise(0.72)
     return _best(met.withColumns({"confidence": confidence, "method": F.when(F.col("canonical"), "TAXONOMY_EXACT").otherwise("TAXONOMY_ALIAS")}), keys, "EQUIPMENT")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry import taxonomy
 from quarry.operators import extract as ex
 from quarry.plans.registry import query
 
@@ -43,6 +44,31 @@ def e4(t):
     return ex.capability_claims(t.documents.select("doc_id", page.alias("page")), ["doc_id"], terms).select("doc_id", "normalized_value", "context", "confidence")
 
 
+#: How a term stands in a document, by doc_id, and what that tells of it.
+STANDS = [("Our team does ", " daily", "DIRECT"), ("We sell ", " goods", "RESALE"), ("How ", " helps", "EXPLANATION"), ("A degree course in ", " here", "EDUCATION")]
+_LITERAL = lambda x: "'" + x.replace("'", "''") + "'"
+_STANDS_SQL = ", ".join(f"({i}, '{a}', '{z}', '{c}', {ex.CONTEXT_FACTOR[c]})" for i, (a, z, c) in enumerate(STANDS))
+_TERMS_SQL = ", ".join(f"({i}, '{slug}', {_LITERAL(phrase)}, {str(alias).lower()}, {0.8 if phrase.lower() in ex.WEAK_ALIASES else 1.0})" for i, (slug, phrase, alias) in enumerate(taxonomy.phrases()))
+
+
+@query(
+    "e4_dictionary",
+    rf"""WITH terms(i, slug, phrase, alias, weak) AS (VALUES {_TERMS_SQL}), stands(k, head, tail, context, factor) AS (VALUES {_STANDS_SQL}),
+    units AS (SELECT doc_id, head || phrase || tail AS unit, context, factor FROM documents JOIN terms ON i = doc_id % {len(taxonomy.phrases())} JOIN stands ON k = doc_id % {len(STANDS)}),
+    met AS (SELECT doc_id, slug, context, CASE WHEN alias THEN weak * 0.95 ELSE 1 END * 0.85 * factor AS confidence FROM units JOIN terms ON regexp_matches(unit, '(?i)(^|[^a-z0-9])' || replace(replace(replace(phrase, '/', '\/'), ' & ', ' (?:&|and) '), ' ', '(?:\s+|\s*-\s*)') || '($|[^a-z0-9])'))
+    SELECT doc_id, slug AS normalized_value, context, CASE WHEN context <> 'DIRECT' THEN round(max(confidence), 3) END AS confidence FROM met GROUP BY doc_id, slug, context""",
+)
+def e4_dictionary(t):
+    """The whole dictionary over all documents, a term of it written into the first line of each. Confidence of direct mentions depends on their number and is left out."""
+    terms = taxonomy.phrases()
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), F.pmod(at, F.lit(len(values))).cast("int") + 1)
+    line = F.concat(of([a for a, _, _ in STANDS], F.col("doc_id")), of([p for _, p, _ in terms], F.col("doc_id")), of([z for _, z, _ in STANDS], F.col("doc_id")))
+    heads = F.array().cast("array<struct<level:string,text:string>>")
+    page = F.struct(F.lit("").alias("title"), heads.alias("headings"), F.concat(line, F.lit("\n"), F.col("text")).alias("content_text"))
+    found = ex.capability_claims(t.documents.select("doc_id", page.alias("page")), ["doc_id"], terms)
+    return found.select("doc_id", "normalized_value", "context", F.when(F.col("context") != "DIRECT", F.col("confidence")).alias("confidence"))
+
+
 @query("x_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def x_rollup(t):
     """Beyond the reference: totals at every level."""
