@@ -1,4 +1,4 @@
 """Driver-facing queries over the test tables, with SQL twins."""
 
-from quarry.plans import administration, crawl, directory, extraction, golden, relational  # noqa: F401
+from quarry.plans import administration, crawl, directory, extraction, golden, relational, requests  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
