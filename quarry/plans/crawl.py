@@ -148,3 +148,22 @@ def e13(t):
     claims, errors = en.run_extractors(pages, ["page_id"], "host", EXTRACTORS, {"FIRST_LINK": (["page"], first_link)})
     value = F.lower(F.when(F.col("claim_type") == "CONTACT", F.col("normalized_value")).otherwise(F.col("raw_value")))
     return claims.select("page_id", "claim_type", value.alias("value")).unionByName(errors.select("page_id", F.lit("ERROR").alias("claim_type"), F.lower("error").alias("value")))
+
+
+@query(
+    "n7_offices",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Bay Town' WHEN 1 THEN 'Saint John NB' WHEN 2 THEN 'Nova Scotia' WHEN 3 THEN 'Upper Kent' WHEN 4 THEN 'Hillview' END AS office,
+    CASE c_custkey % 6 WHEN 0 THEN 'PAGE_TEXT' WHEN 1 THEN 'PAGE_URL' WHEN 2 THEN 'PAGE_URL' WHEN 3 THEN 'TOWN_BEFORE' WHEN 4 THEN 'EVIDENCE' END AS source FROM customer""",
+)
+def n7_offices(t):
+    """Whose office the number of each customer is: by the page, the evidence, the page's address, or a town that no list knows."""
+    towns, codes = {"Bay Town": "NB", "Hillview": "NS"}, {"506": ["NB"], "902": ["NS"]}
+    kind = F.col("c_custkey") % 6
+    code = F.when(kind == 4, "902").otherwise("506")
+    local = F.lpad((F.col("c_custkey") % 10_000).cast("string"), 4, "0")
+    number = F.concat(F.lit("("), code, F.lit(") 555-"), local)
+    before = F.when(kind == 0, "Old Mill, NB 506 555 99990. Bay Town, NB - 1 Main St E1A 9A3. ").when(kind == 3, "Far Cove, NS 902-777-1234 fax; Upper Kent, NB, route 105 ").when(kind == 5, "Bay Town of old ").otherwise("call ")
+    url = F.concat(F.lit("https://c.example"), F.when(kind == 1, "/locations/saint-john-nb").when(kind == 2, "/nova-scotia").otherwise("/contact"))
+    evidence = F.when(kind == 4, F.concat(F.lit("Hillview, NS: "), number)).otherwise("")
+    told = site.office_chain(F.concat(before, number), evidence, url, F.concat(code, F.lit("555"), local), towns, codes, "NB|NS", ["800"])
+    return t.customer.select("c_custkey", told.alias("o")).select("c_custkey", "o.office", "o.source")

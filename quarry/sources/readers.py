@@ -34,9 +34,51 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_all(df: DataFrame, path: str) -> None:
-    """Materializes a whole table anew; df must not read from path."""
-    df.write.mode("overwrite").parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in its terms."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds the table now, by the last committed pointer; null before the first."""
+    fs, place = _file_system(spark, f"{path}/_pointers")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    committed = [n for n in names if not n.startswith((".", "_"))]
+    return f"{path}/{committed[-1]}" if committed else None
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of its last committed version. A reader keeps that version, whatever is committed later."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no version of {path} is committed")
+    return spark.read.parquet(version)
+
+
+def replace_all(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes a whole table anew as a version of its own and commits it by a pointer made last; df may read the table's own current version.
+
+    A job that is lost before the commit leaves the old version in place and its own files unread. The pointer is a new empty file, whose making is one
+    step on every file system, and of two writers of one version the second fails. The `keep` newest committed versions stay for their readers.
+    """
+    spark = df.sparkSession
+    fs, pointers = _file_system(spark, f"{path}/_pointers")
+    before = current_version(spark, path)
+    name = f"v{int(before.rsplit('/v', 1)[1]) + 1 if before else 0:012d}"
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    commit(spark, path, name)
+    old = sorted(s.getPath().getName() for s in fs.listStatus(pointers))[:-keep]
+    for version in (v for v in old if v.startswith("v")):
+        fs.delete(_file_system(spark, f"{path}/_pointers/{version}")[1], False)
+        fs.delete(_file_system(spark, f"{path}/{version}")[1], True)
+    return f"{path}/{name}"
+
+
+def commit(spark: SparkSession, path: str, name: str) -> None:
+    """Makes a written version the current one."""
+    fs, place = _file_system(spark, f"{path}/_pointers/{name}")
+    fs.create(place, False).close()
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources import readers
@@ -15,12 +16,56 @@ def test_jobs_run_once(spark, tmp_path):
 
 
 def test_delivery_fold(spark, tmp_path):
-    source, state, check = (str(tmp_path / x) for x in ("in", "state", "check"))
-    fields = "message_id string, status string, arrival long"
-    for rows in ([("a", "DELIVERED", 1), ("b", "BOUNCED", 2)], [("a", "FAILED", 3)]):
-        spark.createDataFrame(rows, fields).write.mode("append").parquet(source)
-        jobs.fold_delivery_events(jobs.job_stream(spark, source, fields), state, check).awaitTermination()
-    assert {r["message_id"]: r["status"] for r in spark.read.parquet(f"{state}/1").collect()} == {"a": "FAILED", "b": "BOUNCED"}
+    """Three runs over files that come one after another: late and repeated events change nothing, a run writes only what changed, and a restart goes on from the state."""
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    runs = [
+        [("a", "r1", "c1", "SENT", 1), ("a", "r1", "c1", "DELIVERED", 5), ("b", "r2", "c2", "BOUNCED", 2), ("c", None, None, "SENT", 1)],
+        [("a", "r1", "c1", "SENT", 3), ("b", "r2", "c2", "BOUNCED", 2), ("d", "r1", "c1", "OPENED", 9)],
+        [("c", None, None, "COMPLAINED", 4), ("a", "r1", "c1", "FAILED", 6)],
+    ]
+    written = []
+    for rows in runs:
+        spark.createDataFrame(rows, jobs.DELIVERY).coalesce(1).write.mode("append").parquet(source)
+        query = jobs.fold_delivery_events(jobs.job_stream(spark, source, jobs.DELIVERY), out, check)
+        query.awaitTermination()
+        assert query.exception() is None
+        written.append(spark.read.parquet(f"{out}/deliveries").count())
+    assert written == [3, 4, 6]
+    now = lambda name, *columns: sorted(tuple(r[c] for c in columns) for r in jobs.read_fold(spark, out, name).collect())
+    assert now("deliveries", "message_id", "status", "arrival") == [("a", "FAILED", 6), ("b", "BOUNCED", 2), ("c", "COMPLAINED", 4), ("d", "OPENED", 9)]
+    assert now("recipients", "recipient_id", "status") == [("r1", "OPENED"), ("r2", "BOUNCED")] and now("bounces", "contact_id", "arrival") == [("c2", 2)]
+
+
+def test_a_batch_that_runs_again_writes_the_same(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.createDataFrame([("a", "r1", "c1", "SENT", 1)], jobs.DELIVERY).write.parquet(source)
+    for _ in range(2):  # without its checkpoint the first batch runs again
+        jobs.fold_delivery_events(jobs.job_stream(spark, source, jobs.DELIVERY), out, f"{check}{_}").awaitTermination()
+    assert spark.read.parquet(f"{out}/deliveries").count() == 1
+
+
+def test_snapshots(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        readers.read_snapshot(spark, path)
+    readers.replace_all(spark.range(3), path)
+    old = readers.read_snapshot(spark, path)
+    # The table is made anew from itself.
+    readers.replace_all(old.select((F.col("id") + 10).alias("id")), path)
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(readers.read_snapshot(spark, path)) == [10, 11, 12] and ids(old) == [0, 1, 2]
+
+    # A writer that is lost between writing and committing leaves the table as it was, and the next one goes on.
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(readers, "commit", lost)
+        with pytest.raises(OSError, match="lost"):
+            readers.replace_all(spark.range(1), path)
+    assert ids(readers.read_snapshot(spark, path)) == [10, 11, 12]
+    readers.replace_all(readers.read_snapshot(spark, path).where("id > 10"), path)
+    assert ids(readers.read_snapshot(spark, path)) == [11, 12] and not (tmp_path / "table" / "v000000000000").exists()
 
 
 def test_sources(spark, tmp_path):
