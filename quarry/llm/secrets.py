@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -93,7 +94,7 @@ def dictionary(docs: DataFrame, share: float = 0.002, least: int = 20) -> DataFr
 
     Counted over whole texts; partial counts come before the shuffle, and each text's repeats fold first.
     """
-    letters = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,12}"), F.lit(0)))).alias("piece")
+    letters = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("piece")
     return docs.select(letters).groupBy("piece").count().where(F.col("count") >= max(least, math.ceil(share * docs.count()))).select("piece")
 
 
@@ -135,13 +136,18 @@ def describe(candidates: DataFrame, pieces: DataFrame) -> DataFrame:
     )
 
 
+def is_announced() -> Column:
+    """Whether a candidate's own word, or the words before it, tie an announcing word to it: the rule that opens candidates without a digit or a length."""
+    return F.col("word").rlike(ASSIGNED) | _announced(F.col("before"), F.col("before2"))
+
+
 def heuristic_labels(candidates: DataFrame) -> DataFrame:
-    """Adds label to findings that can be told for sure without a model: provider shapes and assigned high-digit values are secrets, mail addresses, hosts, dates and numbers are not; null elsewhere.
+    """Adds label to findings that can be told for sure without a model: provider shapes and announced high-digit values are secrets, mail addresses, hosts, dates and numbers are not; null elsewhere.
 
     The tables hold no labelled findings, so the query trains from these; the operator takes any labelled findings.
     """
     v = F.col("value")
-    sure = v.rlike(PROVIDER) | (F.concat_ws("", "before", "word").rlike(ANNOUNCES) & F.concat_ws("", "before", "word").rlike("[=:]") & v.rlike("[0-9].*[0-9].*[0-9]") & ~v.contains("@"))
+    sure = v.rlike(PROVIDER) | (is_announced() & v.rlike("[0-9].*[0-9].*[0-9]") & ~v.contains("@"))
     never = v.rlike(r"@[a-z0-9.-]+\.[a-z]+$") | v.rlike(r"^[0-9./:+-]+$") | v.rlike(r"^(https?:)?//|^www\.") | F.col("word").rlike(EXAMPLE)
     return candidates.withColumn("label", F.when(sure & ~never, 1.0).when(never, 0.0))
 
@@ -160,9 +166,10 @@ def train_forest(labelled: DataFrame, most_rows: int = 50_000, trees: int = 24,
 
 
 def score_findings(described: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
-    """Adds probability: the forest's share for secret; 0.5 without a forest, so that nothing is lost."""
+    """Adds probability: the forest's share for secret. Without a forest it is told aloud, and only what is sure without one is told apart: 1 and 0 by heuristic_labels, 0.5 for the rest, so that nothing is lost."""
     if forest is None:
-        return described.withColumn("probability", F.lit(0.5))
+        warnings.warn("no labelled findings of both kinds: findings are told apart by rules alone", stacklevel=3)
+        return heuristic_labels(described).withColumn("probability", F.coalesce("label", F.lit(0.5))).drop("label")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
     out = forest.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return out.drop("features", "rawPrediction", "prediction")
@@ -172,7 +179,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str |
     """docs (doc_id, text, path) -> a row for each candidate: doc_id, nth (word number), part (number in the word), kind, length, value_sha256, probability, kept.
 
     labelled: (doc_id, nth, label) of known findings, with part where a word holds several; without it the sure ones label themselves, rows held out as in held_out_findings not used. kept is false for what the forest takes for a false positive. Secrets are reported by their hash. Null and empty texts
-    have no candidates; repeated rows give repeated findings; an empty table or one without labels keeps all findings at probability 0.5.
+    have no candidates; repeated rows give repeated findings; an empty table or one without labels of both kinds is judged by the rules alone (1, 0, or 0.5 where they tell nothing), with a warning.
     """
     found = materialize(find_candidates(docs, path), "candidates")
     described = materialize(describe(found, dictionary(docs)), "described")
@@ -182,7 +189,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str |
         known = [c for c in ("doc_id", "nth", "part") if c in labelled.columns]
         rows = described.join(labelled.select(*known, "label"), known)
     scored = score_findings(described, train_forest(rows))
-    kind = F.when(F.col("value").rlike(PROVIDER), "provider").when(F.concat_ws("", "before", "word").rlike(ANNOUNCES), "assignment").otherwise("generic")
+    kind = F.when(F.col("value").rlike(PROVIDER), "provider").when(is_announced(), "assignment").otherwise("generic")
     return scored.select("doc_id", "nth", "part", kind.alias("kind"), F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= least).alias("kept"))
 
 

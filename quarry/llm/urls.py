@@ -65,7 +65,8 @@ def _prior(groups: DataFrame, by: list[str], least: float, most: float) -> DataF
     """Beta-binomial prior of the groups of one level: mean and strength by moments.
 
     groups: by..., n, good. The mean is the pooled share m. With s2 the between-group variance of the shares, weighed by n and less its binomial part, the strength is
-    m (1 - m) / s2 - 1, held between least and most: most where the groups differ no more than chance makes them.
+    m (1 - m) / s2 - 1, held between least and most. Where the groups differ no more than chance makes them, it is what their pages can tell of differences at all: N - N2 / N, the pages
+    beside those of the largest group. A group that stands alone tells nothing of differences: its strength is null, for the caller to take that of the level above.
     """
     moments = groups.groupBy(*by).agg(
         F.sum("n").alias("N"), F.sum("good").alias("G"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.count(F.lit(1)).alias("K"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("Q")
@@ -76,7 +77,8 @@ def _prior(groups: DataFrame, by: list[str], least: float, most: float) -> DataF
     chance = (F.col("K") - 1) * m * (1 - m)
     slope = F.col("N") - F.col("N2") / F.col("N")
     s2 = F.when((slope > 0) & (spread > chance), (spread - chance) / slope)
-    strength = F.when(s2.isNull(), F.lit(most)).otherwise(F.least(F.greatest(m * (1 - m) / s2 - 1, F.lit(least)), F.lit(most)))
+    held = lambda x: F.least(F.greatest(x, F.lit(least)), F.lit(most))
+    strength = F.when(F.col("K") > 1, F.when(s2.isNull(), held(slope)).otherwise(held(m * (1 - m) / s2 - 1)))
     return moments.select(*by, m.alias("mean"), F.round(strength, 6).alias("strength"))
 
 
@@ -84,23 +86,23 @@ def reputations(outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z
     """outcomes (host, n, good): labelled pages of each host -> (hosts, domains, suffixes), each with its posterior mean and bound.
 
     Priors go down the levels: all labelled pages give the prior of suffixes, a suffix that of its registered domains, a domain that of its hosts. A level's posterior mean is
-    (strength * prior mean + good) / (strength + n), and what goes down from it leaves out the child's own pages, so that none counts twice; a host with few labelled pages keeps near its domain. bound is
-    the posterior mean less z posterior standard deviations; of a domain or suffix it is the bound of a host in it that has no labelled page. Each level is summed before it is joined.
+    (strength * prior mean + good) / (strength + n), and what goes down from it leaves out the child's own pages, so that none counts twice; a host with few labelled pages keeps near its domain. A host that
+    is its domain's only one is judged as that domain, with the strength of the level above, and so is an only domain of a suffix. bound is the posterior mean less z posterior standard deviations, 0 at least; of a domain or suffix it is the bound of a host in it that has no labelled page. Each level is summed before it is joined.
     """
     named = outcomes.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
     hosts = named.groupBy("suffix", "domain", "host").agg(F.sum("n").cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
     hosts = materialize(hosts, "hosts")
     domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "domains")
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffixes")
-    top = _prior(suffixes.withColumn("one", F.lit(1)), ["one"], least, most).select("one", F.col("mean").alias("m0"), F.col("strength").alias("k0"))
+    top = _prior(suffixes.withColumn("one", F.lit(1)), ["one"], least, most).select("one", F.col("mean").alias("m0"), F.coalesce("strength", F.lit(least)).alias("k0"))
     of_domains = _prior(domains, ["suffix"], least, most).select("suffix", F.col("strength").alias("k1"))
     of_hosts = _prior(hosts, ["domain"], least, most).select("domain", F.col("strength").alias("k2"))
     c = F.col
-    below = lambda mean, sd_weight: mean - z * F.sqrt(mean * (1 - mean) / (sd_weight + 1))
-    s = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").join(of_domains, "suffix").select("suffix", "m0", "k0", "k1", c("n").alias("s_n"), c("good").alias("s_good"))
+    below = lambda mean, sd_weight: F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (sd_weight + 1)))
+    s = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").join(of_domains, "suffix").select("suffix", "m0", "k0", F.coalesce("k1", "k0").alias("k1"), c("n").alias("s_n"), c("good").alias("s_good"))
     s = materialize(s.withColumn("s_mean", (c("k0") * c("m0") + c("s_good")) / (c("k0") + c("s_n"))).withColumn("s_bound", below(c("s_mean"), F.least("k0", "k1"))), "suffixes")
     d = domains.join(s, "suffix").join(of_hosts, "domain").withColumn("m1", (c("k0") * c("m0") + c("s_good") - c("good")) / (c("k0") + c("s_n") - c("n")))
-    d = d.select("domain", "suffix", "m1", "k1", "k2", c("n").alias("d_n"), c("good").alias("d_good"))
+    d = d.select("domain", "suffix", "m1", "k1", F.coalesce("k2", "k1").alias("k2"), c("n").alias("d_n"), c("good").alias("d_good"))
     d = materialize(d.withColumn("d_mean", (c("k1") * c("m1") + c("d_good")) / (c("k1") + c("d_n"))).withColumn("d_bound", below(c("d_mean"), F.least("k1", "k2"))), "domains")
     h = hosts.join(d.drop("suffix"), "domain").withColumn("m2", (c("k1") * c("m1") + c("d_good") - c("good")) / (c("k1") + c("d_n") - c("n")))
     mean = (c("k2") * c("m2") + c("good")) / (c("k2") + c("n"))

@@ -166,7 +166,9 @@ def _plain_reputations(rows, z=1.0, least=1.0, most=1000.0):
         m = (big_g + 0.5) / (big_n + 1)
         spread = sum(g * g / n for n, g in groups) - big_g * big_g / big_n
         chance, slope = (len(groups) - 1) * m * (1 - m), big_n - sum(n * n for n, _ in groups) / big_n
-        return m, round(min(max(m * (1 - m) * slope / (spread - chance) - 1, least), most), 6) if slope > 0 and spread > chance else most
+        if len(groups) < 2:
+            return m, None
+        return m, round(min(max(m * (1 - m) * slope / (spread - chance) - 1 if spread > chance else slope, least), most), 6)
 
     def summed(level):
         out = {}
@@ -179,15 +181,18 @@ def _plain_reputations(rows, z=1.0, least=1.0, most=1000.0):
     suffix = lambda h: domain(h).split(".", 1)[1]
     ds, ss = summed(domain), summed(suffix)
     m0, k0 = strength(list(ss.values()))
+    k0 = least if k0 is None else k0
     out = {}
     for h, n, g in rows:
         (dn, dg), (sn, sg) = ds[domain(h)], ss[suffix(h)]
         _, k1 = strength([v for d, v in ds.items() if suffix(d) == suffix(h)])
         _, k2 = strength([(n2, g2) for h2, n2, g2 in rows if domain(h2) == domain(h)])
+        k1 = k0 if k1 is None else k1
+        k2 = k1 if k2 is None else k2
         m1 = (k0 * m0 + sg - dg) / (k0 + sn - dn)
         m2 = (k1 * m1 + dg - g) / (k1 + dn - n)
         mean = (k2 * m2 + g) / (k2 + n)
-        out[h] = (mean, mean - z * (mean * (1 - mean) / (k2 + n + 1)) ** 0.5)
+        out[h] = (mean, max(0.0, mean - z * (mean * (1 - mean) / (k2 + n + 1)) ** 0.5))
     return out
 
 
@@ -205,6 +210,26 @@ def test_reputations(spark):
     assert {r["d"] for r in spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("10.0.0.1:80",)], "h string").select(urls.registered_domain(F.col("h")).alias("d")).collect()} == {"b.co.uk", "co.uk", "b.com", "10.0.0.1"}
 
 
+def test_reputation_follows_evidence(spark):
+    """Most domains have one host: a host whose labelled pages are all bad is blocked, whatever its suffix, and hosts stand in the order of their shares."""
+    random.seed(9)
+    good = [(f"www.d{i}.com", 50, random.randint(47, 50)) for i in range(40)]
+    bad = [("www.evil.com", 100, 0), ("www.worse.com", 300, 0), ("www.few.com", 5, 0)]
+    known, domains, _ = urls.reputations(spark.createDataFrame(good + bad, "host string, n long, good long"))
+    got = {r["host"]: r for r in known.collect()}
+    assert all(got[h]["mean"] < 0.4 and 0 <= got[h]["bound"] < 0.4 for h, *_ in bad) and all(got[h]["bound"] > 0.7 for h, *_ in good)
+    assert got["www.worse.com"]["mean"] < got["www.evil.com"]["mean"] < got["www.few.com"]["mean"]
+    ranges = [(f"a.m{s}.net", 200, 2 * s) for s in range(0, 101, 10)]
+    spread = {r["host"]: r["mean"] for r in urls.reputations(spark.createDataFrame(ranges, "host string, n long, good long"))[0].collect()}
+    assert all(abs(spread[h] - g / n) < 0.05 for h, n, g in ranges)
+    pages = spark.createDataFrame([(1, "http://www.evil.com/x"), (2, "http://www.d1.com/x"), (3, "http://new.evil.com/x")], "page_id long, url string")
+    judged = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, spark.createDataFrame(good + bad, "host string, n long, good long")).collect()}
+    assert judged == {1: "block", 2: "allow", 3: "block"}
+    # One host alone, with nothing to compare it with, is judged by its own pages.
+    alone = urls.reputations(spark.createDataFrame([("x.only.io", 100, 0)], "host string, n long, good long"))[0].first()
+    assert alone["mean"] < 0.05 and alone["bound"] == 0.0
+
+
 def test_urls_odd(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None), (2, ""), (3, "http://" + "a" * 100_000)], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("rule", "verdict", "domain", "n")})
     none = spark.createDataFrame([], "host string, n long, good long")
@@ -232,7 +257,8 @@ def test_secrets(spark, none):
     got = secrets.scan_secrets(docs).collect()
     assert {r["doc_id"] for r in got if r["kept"]} == secret and len(got) == 160
     empty = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, "abcdef123456ghijkl", None)], "doc_id long, text string, source string")
-    assert [(r["doc_id"], r["kept"], r["probability"]) for r in secrets.scan_secrets(empty).collect()] == [(3, True, 0.5)]
+    with pytest.warns(UserWarning, match="no labelled findings"):
+        assert [(r["doc_id"], r["kept"], r["probability"]) for r in secrets.scan_secrets(empty).collect()] == [(3, True, 0.5)]
     assert secrets.scan_secrets(none).count() == 0
 
 
@@ -254,6 +280,19 @@ def test_secrets_in_any_signs(spark):
     assert [(r["nth"], r["part"], r["value_sha256"]) for r in out] == [(0, i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate((akia, ghp, hexa))]
 
 
+def test_forest_on_given_tables(spark):
+    """The given documents hold findings of both kinds, so a forest is fitted; planted keys are kept and mail addresses and numbers are not, held-out ones too."""
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "source")
+    described = secrets.describe(secrets.find_candidates(docs), secrets.dictionary(docs)).persist()
+    labels = {r["label"] for r in secrets.heuristic_labels(described).select("label").distinct().collect()}
+    assert {0.0, 1.0} <= labels
+    rows = described.select("doc_id", "nth", "part", "value", "before2", "word").collect()
+    kept = {(r["doc_id"], r["nth"], r["part"]): (r["kept"], r["kind"]) for r in secrets.scan_secrets(docs).collect()}
+    planted = [kept[r["doc_id"], r["nth"], r["part"]] for r in rows if re.fullmatch("[0-9a-f]{40}", r["value"])]
+    harmless = [kept[r["doc_id"], r["nth"], r["part"]] for r in rows if re.search(r"@[a-z0-9.-]+[.][a-z]+$", r["value"]) or re.fullmatch("[0-9./:+-]+", r["value"])]
+    assert planted and harmless and all(k for k, _ in planted) and {kind for _, kind in planted} == {"assignment"} and not any(k for k, _ in harmless)
+
+
 def test_dictionary_has_no_cap(spark):
     docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
     assert secrets.dictionary(docs).count() == 2 and secrets.dictionary(docs, share=1.1).count() == 0
