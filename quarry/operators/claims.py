@@ -140,6 +140,21 @@ def review_state(decision: Column, risk: Column, prior: Column, publish_low_risk
     return F.coalesce(prior, F.when((decision == "APPROVE") & (risk == "LOW"), approve).when((decision == "REJECT") & (risk == "LOW"), "AUTO_REJECTED").otherwise("HUMAN_REVIEW"))
 
 
+def batch_stats(facts: DataFrame, keys: list[str], publish_low_risk: bool = False) -> DataFrame:
+    """facts (keys, n_claims, decision, risk, prior) -> keys and the seven counters of a validation run, summed before the shuffle.
+
+    prior is the state that a person gave the fact earlier, or null. Facts with a prior state count as published if it publishes them and as nothing
+    else; others by the state that the verdict leads to, of which AUTO_APPROVED is published. A fact without claims counts as one of none.
+    """
+    state, judged = review_state(F.col("decision"), F.col("risk"), F.lit(None).cast("string"), publish_low_risk), F.col("prior").isNull()
+    n = F.coalesce("n_claims", F.lit(0))
+    return facts.groupBy(*keys).agg(
+        F.sum(n).alias("processed"), F.count("*").alias("facts"), F.count_if(judged & (state == "AUTO_APPROVED")).alias("auto_approved"), F.count_if(judged & (state == "AUTO_REJECTED")).alias("auto_rejected"),
+        F.count_if(judged & (state == "HUMAN_REVIEW")).alias("needs_review"), F.count_if(F.when(judged, state == "AUTO_APPROVED").otherwise(F.col("prior").isin("HUMAN_APPROVED", "VERIFIED"))).alias("published"),
+        (F.sum(n) - F.count("*")).alias("collapsed"),
+    )
+
+
 def validate(claims: DataFrame, prior: DataFrame | None = None, publish_low_risk: bool = False) -> DataFrame:
     """Adds verdict (the rules' struct) and new_state. prior: (supplier_id, claim_type, slug, review_state, updated_at) of people's decisions, of which the latest counts."""
     out = claims.withColumn("verdict", rule_outcome())

@@ -167,3 +167,20 @@ def n7_offices(t):
     evidence = F.when(kind == 4, F.concat(F.lit("Hillview, NS: "), number)).otherwise("")
     told = site.office_chain(F.concat(before, number), evidence, url, F.concat(code, F.lit("555"), local), towns, codes, "NB|NS", ["800"])
     return t.customer.select("c_custkey", told.alias("o")).select("c_custkey", "o.office", "o.source")
+
+
+@query(
+    "p18_identity",
+    """SELECT c_custkey AS site, CASE WHEN c_custkey % 6 = 0 THEN 'EMPTY' WHEN c_custkey % 6 = 5 THEN 'PARKED_OR_SPAM' WHEN c_custkey % 6 = 4 THEN 'NAME_NOT_FOUND' ELSE 'OK' END AS status FROM customer""",
+)
+def p18_identity(t):
+    """Whether each customer's pages name it: in the text, the open graph's site name or the structured data; some sites are empty, parked or of others."""
+    kind = F.col("c_custkey") % 6
+    name = F.concat(F.lit("Mill"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    sites = t.customer.select(F.col("c_custkey").alias("site"), F.concat(name, F.lit(" Industries Ltd.")).alias("company"), F.lit("www.mill.example").alias("domain"))
+    said = lambda where: F.when(kind == where, F.concat(F.lit("welcome to "), F.upper(name), F.lit(" industries"))).otherwise("welcome to our industries")
+    pages = t.customer.where(kind != 0).select(
+        F.col("c_custkey").alias("site"), F.explode(F.lit([0, 1])).alias("seq"), F.when(kind == 5, "This domain is for sale").otherwise("Home").alias("title"), said(1).alias("full_text"), F.array().cast("array<string>").alias("mailto"),
+        F.create_map(F.lit("site_name"), said(2)).alias("open_graph"), F.array(F.lit("{}"), F.concat(F.lit('{"name":"'), said(3), F.lit('"}'))).alias("json_ld"),
+    )
+    return site.site_identity(sites, pages)

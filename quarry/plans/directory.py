@@ -201,6 +201,23 @@ def v6(t):
     return facts.agg(F.sum("n_claims").alias("claims"), F.count("*").alias("facts"), (F.sum("n_claims") - F.count("*")).alias("collapsed"))
 
 
+@query(
+    "v6_counters",
+    f"""WITH {MAIL_CLAIMS_SQL}, f AS (SELECT supplier_id, slug, count(*) AS n, CASE length(slug) % 3 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'REJECT' ELSE 'HUMAN_REVIEW' END AS d, CASE WHEN length(slug) % 5 = 0 THEN 'HIGH' ELSE 'LOW' END AS r,
+      CASE length(slug) % 7 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'HUMAN_REJECTED' END AS p FROM mails GROUP BY 1, 2)
+    SELECT supplier_id, sum(n)::BIGINT AS processed, count(*) AS facts, count(*) FILTER (p IS NULL AND d = 'APPROVE' AND r = 'LOW') AS auto_approved, count(*) FILTER (p IS NULL AND d = 'REJECT' AND r = 'LOW') AS auto_rejected,
+      count(*) FILTER (p IS NULL AND (d = 'HUMAN_REVIEW' OR r = 'HIGH')) AS needs_review, count(*) FILTER (p = 'VERIFIED' OR (p IS NULL AND d = 'APPROVE' AND r = 'LOW')) AS published, (sum(n) - count(*))::BIGINT AS collapsed FROM f GROUP BY 1""",
+)
+def v6_counters(t):
+    """The seven counters of each source's run, with verdicts and earlier decisions by the length of the address."""
+    n = F.length("slug")
+    facts = cl.consolidate(mail_claims(t)).select(
+        "supplier_id", "n_claims", F.when(n % 3 == 0, "APPROVE").when(n % 3 == 1, "REJECT").otherwise("HUMAN_REVIEW").alias("decision"), F.when(n % 5 == 0, "HIGH").otherwise("LOW").alias("risk"),
+        F.when(n % 7 == 0, "VERIFIED").when(n % 7 == 1, "HUMAN_REJECTED").alias("prior"),
+    )
+    return cl.batch_stats(facts, ["supplier_id"], publish_low_risk=True)
+
+
 @query("n4_contact_selection")
 def n4(t):
     """Contacts of each source, ranked and chosen."""
