@@ -154,3 +154,24 @@ def rebuilt_audit(flags: DataFrame) -> DataFrame:
     usable = F.col("has_email") | F.col("has_phone")
     good = (F.col("crawl") != "failed") & usable & F.col("has_capability") & (F.col("waiting") <= GATES["review"])
     return flags.select("supplier_id", usable.alias("usable_contact"), "has_capability", "waiting", F.when(good, "PASS").otherwise("REVIEW").alias("verdict"))
+
+
+#: Steps of the buyers' and the suppliers' funnel, by the events that count for them (fixed values).
+FUNNEL_EVENTS = {
+    "searches": "supplier_search", "profile_views": "profile_view", "suppliers_selected": "add_to_rfq", "requests_created": "rfq_create", "requests_sent": "rfq_send",
+    "emails_delivered": "email_delivery", "responses_received": "supplier_response", "profiles_claimed": "profile_claim",
+}
+
+
+def market_funnels(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """events (event_type, metadata JSON) -> keys, nine counts and two rates as text: one pass, summed before the shuffle.
+
+    Responses count as interested by the status in their metadata; metadata that is no JSON has none. Rates have one decimal, 0.0% where nothing
+    was searched or delivered. Without keys an empty table gives one row of zeros.
+    """
+    counts = [F.count_if(F.col("event_type") == event).alias(step) for step, event in FUNNEL_EVENTS.items()]
+    status = F.get_json_object("metadata", "$.status")
+    interested = F.count_if((F.col("event_type") == FUNNEL_EVENTS["responses_received"]) & F.coalesce(status == "INTERESTED", F.lit(False))).alias("interested_responses")
+    rate = lambda part, whole: F.when(F.col(whole) > 0, F.format_string("%.1f%%", 100.0 * F.col(part) / F.col(whole))).otherwise("0.0%")
+    out = events.groupBy(*(keys or [])).agg(*counts, interested)
+    return out.withColumns({"conversion_rate": rate("requests_sent", "searches"), "response_rate": rate("responses_received", "emails_delivered")})

@@ -10,6 +10,7 @@ from quarry.functions import urls as u
 from quarry.operators import claims as cl
 from quarry.operators import links as lk
 from quarry.operators import pages as pg
+from quarry.operators import reports as rp
 from quarry.operators import search as se
 from quarry.plans.registry import Tables, query
 from quarry.plans.relational import EDGES_SQL, LINES_SQL, RECIPIENTS_SQL, edges, recipients
@@ -425,6 +426,25 @@ def r9(t):
     return out.withColumn("click_rate", F.round(100.0 * F.col("clicked") / F.nullif(F.col("viewed"), F.lit(0)), 1))
 
 
+_FUNNEL_SQL = """SELECT user_id, CASE event_type WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN 'supplier_search' ELSE 'profile_view' END WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'add_to_rfq' ELSE 'rfq_create' END
+  WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'rfq_send' ELSE 'email_delivery' END WHEN 'signup' THEN 'supplier_response' ELSE 'profile_claim' END AS e, k % 3 = 0 AS interested FROM (SELECT user_id, event_type, (props->>'k')::INT AS k FROM events)"""
+
+
+@query(
+    "r9_market_funnels",
+    f"""WITH e AS ({_FUNNEL_SQL}), n AS (SELECT user_id, {", ".join(f"count(*) FILTER (e = '{event}') AS {step}" for step, event in rp.FUNNEL_EVENTS.items())}, count(*) FILTER (e = 'supplier_response' AND interested) AS interested_responses FROM e GROUP BY 1)
+    SELECT *, CASE WHEN searches > 0 THEN printf('%.1f%%', 100.0 * requests_sent / searches) ELSE '0.0%' END AS conversion_rate, CASE WHEN emails_delivered > 0 THEN printf('%.1f%%', 100.0 * responses_received / emails_delivered) ELSE '0.0%' END AS response_rate FROM n""",
+)
+def r9_market_funnels(t):
+    """The nine counts and two rates of each user's events."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    two = lambda even, odd: F.when(k % 2 == 0, even).otherwise(odd)
+    kind = F.col("event_type")
+    name = F.when(kind == "view", two("supplier_search", "profile_view")).when(kind == "click", two("add_to_rfq", "rfq_create")).when(kind == "purchase", two("rfq_send", "email_delivery")).when(kind == "signup", "supplier_response").otherwise("profile_claim")
+    metadata = F.when(k % 3 == 0, '{"status":"INTERESTED"}').when(k % 3 == 1, '{"status":"DECLINED"}').otherwise("not json")
+    return rp.market_funnels(t.events.select("user_id", name.alias("event_type"), metadata.alias("metadata")), ["user_id"])
+
+
 @query("r10_draft_count", "SELECT count(*) FILTER (s_acctbal <= 0) AS drafts FROM supplier")
 def r10(t):
     return t.supplier.agg(F.count_if(F.col("s_acctbal") <= 0).alias("drafts"))
