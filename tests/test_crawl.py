@@ -92,7 +92,7 @@ def test_engine_keeps_errors_apart(spark):
 
 UNITS = [
     ("We do pipe welding and Pipe  Welding", "Pipe Welding", [("pipe welding", True), ("Pipe  Welding", True)]),
-    ("structural and miscellaneous steel", "structural steel", [("structural and miscellaneous steel", False)]),
+    ("structural and ornamental steel", "structural steel", [("structural and ornamental steel", False)]),
     ("fabrication of structural steel", "structural steel fabrication", [("fabrication of structural steel", False)]),
     ("Pipe & Fittings", "pipe fitting", []),
     ("pipe, fitting", "pipe fitting", []),

@@ -47,7 +47,7 @@ def test_social_and_hours(parsed):
     "unit,phrase,found",
     [
         ("We do pipe welding here", "Pipe Welding", (True, "pipe welding")),
-        ("structural and miscellaneous steel", "structural steel", (False, "structural and miscellaneous steel")),
+        ("structural and ornamental steel", "structural steel", (False, "structural and ornamental steel")),
         ("fabrication of structural steel", "structural steel fabrication", (False, "fabrication of structural steel")),
         ("Pipe & Fittings", "pipe fitting", None),
         ("pipes that are welded", "pipe welding", None),

@@ -35,7 +35,7 @@ def test_contact_form(spark, raw, form):
 
 
 def test_fact_key(spark):
-    assert one(spark, tx.fact_key(F.lit("LOCATION"), F.lit("12 Main St."), F.lit("E1C 4Z1"))) == "e1c4z1-12-main-st"
+    assert one(spark, tx.fact_key(F.lit("LOCATION"), F.lit("12 Main St."), F.lit("E1C 2K8"))) == "e1c2k8-12-main-st"
     assert one(spark, tx.fact_key(F.lit("LOCATION"), F.lit(""), F.lit(None).cast("string"))) == "unknown-location"
     assert one(spark, tx.fact_key(F.lit("CAPABILITY"), F.lit(" Pipe & Welding "), F.lit(None).cast("string"))) == "pipe-welding"
 
@@ -73,7 +73,7 @@ def test_normalize_url(spark):
     [
         ("https://f.ca/", "", "HOME"),
         ("https://f.ca/our-services", "", "SERVICES"),
-        ("https://f.ca/Extreme-Service-Dig-Bucket", "", "OTHER"),
+        ("https://f.ca/Winter-Service-Gate-Latch", "", "OTHER"),
         ("https://f.ca/contactors", "", "OTHER"),
         ("https://f.ca/contact", "", "CONTACT"),
         ("https://f.ca/x", "Our Services", "SERVICES"),
