@@ -12,9 +12,11 @@ from quarry.functions import urls as u
 from quarry.operators.extract import match_context
 from quarry.operators.terms import dictionary_matches
 
+# Wording of ownership, of customers, of plans and of others' certifications, of coverage, and shapes of standards and bodies.
 OWNERSHIP = r"(?i)\b(?:we\s+(?:have|own|operate|run|use)|our\s+(?:shop|facility|fleet|equipment|machines?)|equipped\s+with|capable\s+of|in-house|\d+\s*(?:ton|tons|t|ft|foot|feet|mm|in|inch|x)\b|capacity)"
 INDUSTRY_CONTEXT = r"(?i)\b(?:industr(?:y|ies)|sectors?|markets?|serv(?:e|es|ed|ing)|clients?|customers?|experience\s+in|work(?:ed)?\s+(?:in|with|for))\b"
-TENTATIVE = r"(?i)\b(?:working\s+towards?|pursuing|in\s+progress|applying\s+for|expected\s+(?:to|in)|planned|seeking)\b|\b(?:our\s+(?:suppliers?|vendors?|partners?|clients?|customers?)|require[sd]?\s+(?:by|that)|must\s+be)\b"
+TENTATIVE = r"(?i)\b(?:working\s+towards?|pursuing|in\s+progress|applying\s+for|expected\s+(?:to|in)|planned|seeking)\b"
+OTHERS_HOLD_IT = r"(?i)\b(?:our\s+(?:suppliers?|vendors?|partners?|clients?|customers?)|require[sd]?\s+(?:by|that)|must\s+be)\b"
 #: Built-in certifications: slug, name, patterns of which acronyms keep their case, base confidence, wording that supports it (fixed values).
 CERTIFICATIONS = [
     ("cwb-w47-1", "CWB W47.1 Certification", r"(?i)(?<![A-Za-z0-9])(?:CSA\s*)?W\s?47\.1(?![0-9])", 0.85, None),
@@ -76,7 +78,7 @@ def industry_claims(parsed: DataFrame, keys: list[str], terms: list[tuple[str, s
 def certification_claims(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Certifications by whole tokens. Welding certifications fall into three kinds of which the first that fits counts; wording that others hold one or that it is under way costs 40 %, image texts 15 %, missing support 30 %."""
     text = F.col("text")
-    qualifier = F.when(text.rlike(TENTATIVE), 0.6).otherwise(1.0)
+    qualifier = F.when(text.rlike(TENTATIVE) | text.rlike(OTHERS_HOLD_IT), 0.6).otherwise(1.0)
     hits, welding = [], F.lit(False)
     for place, (slug, name, pattern, base, support) in enumerate(CERTIFICATIONS):
         fits = text.rlike(pattern)
