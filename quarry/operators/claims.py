@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import contains_any, fact_key, if_blank, negated, or_empty, strip
+from quarry.operators.relational import first_per_key, first_with_one, rank_within
 
 ENTITY_TYPES = ("CAPABILITY", "INDUSTRY", "EQUIPMENT")
 
@@ -229,36 +230,39 @@ def contact_score(value: Column, domain: Column, evidence: Column, page_type: Co
 def select_contacts(claims: DataFrame, chosen: int = 3, most: int = 20) -> DataFrame:
     """claims (supplier_id, seq, raw_value, normalized_value, evidence_text, page_type, supplier_domain, and optionally office, home_city) -> each claim with score, kind and outcome.
 
-    Numbers are compared by their last ten digits, addresses in lower case; the first usable one of each counts and later ones are REJECTED, as are unusable ones. Offices in the home city gain 60 points and
-    others lose 20. By score and then first seen: PRIMARY, two BACKUP, the rest EXTRA up to `most` in all, others DEMOTED; numbers under 400 points are DEMOTED too. If the first three hold no address, the best address takes the third place.
+    Numbers are compared by their last ten digits, addresses in lower case; the first usable one of each counts and later ones are REJECTED, as are
+    unusable ones. Offices in the home city gain 60 points and others lose 20. By score and then first seen: PRIMARY, two BACKUP, the rest EXTRA up to
+    `most` in all, others DEMOTED; numbers under 400 points are DEMOTED too. If the first three hold no address, the best address takes the third
+    place. seq tells a supplier's claims apart; a null supplier is one of its own.
+
+    A supplier may hold any number of claims: the first of each value is an aggregate, and what is chosen comes of rankings that keep at most `most`
+    rows of a supplier in each task. All claims meet the outcomes by supplier and seq, so none lie together for being of one supplier.
     """
     value = strip(if_blank(F.col("normalized_value"), or_empty(F.col("raw_value"))))
-    digits = F.regexp_replace(value, r"\D", "")
-    mail = F.contains(value, F.lit("@"))
+    digits, mail = F.regexp_replace(value, r"\D", ""), F.contains(value, F.lit("@"))
     key = F.when(~mail & (F.length(digits) >= 10), F.right(digits, F.lit(10))).otherwise(F.lower(value))
-    scored = claims.withColumns({"value": value, "key": key, "is_email": mail, "_s": contact_score(value, F.col("supplier_domain"), F.col("evidence_text"), F.coalesce(F.col("page_type"), F.lit("")) if "page_type" in claims.columns else F.lit(""))})
-    scored = scored.withColumn("usable", (F.col("value") != "") & (F.col("_s.score") > 0))
-    first = F.row_number().over(Window.partitionBy("supplier_id", "key").orderBy(F.desc("usable"), "seq")) == 1
-    scored = scored.withColumn("usable", F.col("usable") & first)
+    page_type = F.coalesce(F.col("page_type"), F.lit("")) if "page_type" in claims.columns else F.lit("")
     bonus = F.lit(0)
     if "office" in claims.columns and "home_city" in claims.columns:
         same = F.lower(strip(F.col("office"))) == F.lower(strip(F.col("home_city")))
-        bonus = F.when(F.col("is_email") | F.col("office").isNull() | F.col("home_city").isNull(), 0).when(same, 60).otherwise(-20)
-    scored = scored.withColumn("score", F.when(F.col("usable"), F.col("_s.score") + bonus).otherwise(0))
-    order = [F.desc("usable"), F.desc("score"), F.asc("seq")]
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("supplier_id").orderBy(*order)))
-    best_mail = F.min(F.when(F.col("usable") & F.col("is_email"), F.col("rn"))).over(Window.partitionBy("supplier_id"))
-    ranked = ranked.withColumn("_mail", best_mail)
-    swap = F.col("_mail").isNotNull() & (F.col("_mail") > chosen)
-    in_three = F.when(swap, (F.col("rn") < chosen) | (F.col("rn") == F.col("_mail"))).otherwise(F.col("rn") <= chosen)
-    phone_far = ~F.col("is_email") & (F.col("score") < 400)
-    ranked = ranked.withColumn("_in", F.col("usable") & in_three).withColumn("_extra", F.col("usable") & ~F.col("_in") & ~phone_far)
-    extras = F.sum(F.col("_extra").cast("int")).over(Window.partitionBy("supplier_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
-    outcome = (
-        F.when(~F.col("usable"), "REJECTED").when(F.col("_in") & (F.col("rn") == 1), "PRIMARY").when(F.col("_in"), "BACKUP")
-        .when(F.col("_extra") & (extras <= most - chosen), "EXTRA").otherwise("DEMOTED")
-    )
-    return ranked.withColumn("outcome", outcome).withColumn("kind", F.col("_s.kind")).drop("_s", "_in", "_extra", "_mail", "key", "usable", "rn")
+        bonus = F.when(mail | F.col("office").isNull() | F.col("home_city").isNull(), 0).when(same, 60).otherwise(-20)
+    scored = claims.withColumns({"value": value, "_key": key, "is_email": mail, "_bonus": bonus, "_s": contact_score(value, F.col("supplier_domain"), F.col("evidence_text"), page_type)})
+    usable = scored.where((F.col("value") != "") & (F.col("_s.score") > 0)).select("supplier_id", "seq", "_key", "is_email", (F.col("_s.score") + F.col("_bonus")).alias("score"))
+    once = first_per_key(usable, ["supplier_id", "_key"], ["seq"]).drop("_key")
+    order = [F.desc("score"), F.asc("seq")]
+    three = first_with_one(once, ["supplier_id"], order, F.col("is_email"), chosen).select("supplier_id", "seq", F.when(F.col("rn") == 1, "PRIMARY").otherwise("BACKUP").alias("outcome"))
+    # Among the first `most` that may be extras lie the chosen ones and all the extras there can be.
+    near = rank_within(once.where("is_email or score >= 400"), ["supplier_id"], order, most).drop("rn")
+    same_claim = lambda a, b: a["supplier_id"].eqNullSafe(b["supplier_id"]) & (a["seq"] == b["seq"])
+    rest = near.join(three, same_claim(near, three), "left_anti")
+    extra = rank_within(rest, ["supplier_id"], order, most - chosen).select("supplier_id", "seq", F.lit("EXTRA").alias("outcome"))
+    none = F.lit(None)
+    told = once.select("supplier_id", "seq", none.cast("string").alias("outcome"), "score").unionByName(three.unionByName(extra).withColumn("score", none.cast("int")))
+    told = told.groupBy(F.col("supplier_id").alias("_supplier"), F.col("seq").alias("_seq")).agg(F.max("outcome").alias("outcome"), F.max("score").alias("_score"))
+    out = scored.join(told, F.col("supplier_id").eqNullSafe(F.col("_supplier")) & (F.col("seq") == F.col("_seq")), "left")
+    outcome = F.when(F.col("_score").isNull(), "REJECTED").otherwise(F.coalesce("outcome", F.lit("DEMOTED")))
+    out = out.withColumns({"score": F.coalesce("_score", F.lit(0)), "kind": F.col("_s.kind"), "outcome": outcome})
+    return out.drop("_key", "_bonus", "_s", "_supplier", "_seq", "_score")
 
 
 # Guards and evidence -----------------------------------------------------------------------------------------------------

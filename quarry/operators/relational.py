@@ -35,6 +35,22 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], mos
     return ranked if most is None else ranked.where(F.col("rn") <= most)
 
 
+def first_with_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: Column, most: int = 3) -> DataFrame:
+    """The first `most` rows of each key with their place rn; where none of them is wanted, the first wanted row of the key takes the last place.
+
+    Both rankings keep a few rows of each key in each task before the shuffle, so the window that joins them sees at most `most` + 1 rows of a key,
+    whatever the key holds. The order must end in a unique column. A null wish counts as no.
+    """
+    yes = F.coalesce(wanted, F.lit(False))
+    first = rank_within(df, keys, order, most).withColumns({"_put": F.lit(False), "_yes": yes})
+    best = rank_within(df.where(yes), keys, order, 1).withColumns({"rn": F.lit(most), "_put": F.lit(True), "_yes": F.lit(True)})
+    key = Window.partitionBy(*keys)
+    held, put = F.bool_or(F.col("_yes") & ~F.col("_put")).over(key), F.bool_or("_put").over(key)
+    both = first.unionByName(best).withColumns({"_held": held, "_any": put})
+    stays = F.when(F.col("_put"), ~F.col("_held")).otherwise(F.col("_held") | ~F.col("_any") | (F.col("rn") < most))
+    return both.where(stays).drop("_put", "_yes", "_held", "_any")
+
+
 def paged(df: DataFrame, order: Sequence[str], page: int = 1, size: int = 10, largest: int = 50) -> DataFrame:
     """One page; page numbers start at 1 and sizes are held between 1 and `largest`. The order must end in a unique column."""
     size = min(max(size, 1), largest)

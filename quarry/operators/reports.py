@@ -88,10 +88,10 @@ def rebuilt_locations(locations: DataFrame, suppliers: DataFrame, addresses: Dat
     """
     kept = locations.where("not by_crawler").select("supplier_id", "address", "city", F.lit("KEPT").alias("outcome"), F.lit(0).cast("long").alias("updates"))
     place = F.coalesce(F.nullif(F.upper(F.regexp_replace(or_empty(F.col("postal")), r"[\s-]+", "")), F.lit("")), F.lower(strip(F.col("address"))))
-    once = addresses.withColumn("place", place).groupBy("supplier_id", "place").agg(F.min("seq").alias("seq"), F.max_by("address", "seq").alias("address"), F.min_by("city", "seq").alias("city"), (F.count(F.lit(1)) - 1).alias("updates"))
+    once = addresses.withColumn("place", place).groupBy("supplier_id", "place").agg(F.min("seq").alias("seq"), F.max_by("address", F.struct("seq", "address")).alias("address"), F.min_by("city", F.struct("seq", "city")).alias("city"), (F.count(F.lit(1)) - 1).alias("updates"))
     listed = suppliers.select("supplier_id", F.col("city").alias("_listed"))
     near = once.join(listed, "supplier_id").withColumn("here", F.lower("city").eqNullSafe(F.lower("_listed")))
-    fills = F.col("here") & (F.row_number().over(Window.partitionBy("supplier_id", "here").orderBy("seq")) == 1)
+    fills = F.col("here") & (F.row_number().over(Window.partitionBy("supplier_id", "here").orderBy("seq", "place")) == 1)
     found = near.withColumn("outcome", F.when(fills, "FILLED").otherwise("ADDED")).select("supplier_id", "address", "city", "outcome", "updates")
     filled = found.where("outcome = 'FILLED'").select("supplier_id")
     seeded = suppliers.join(filled, "supplier_id", "left_anti").select("supplier_id", F.lit("(listed city)").alias("address"), "city", F.lit("LISTED").alias("outcome"), F.lit(0).cast("long").alias("updates"))

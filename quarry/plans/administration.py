@@ -386,7 +386,7 @@ def r5_audit(t):
 FLAGS_SQL = f"""{EDGES_SQL}, {CLAIMS_SQL}, {FACTS_SQL}, {CONTACTS_SQL},
 run AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS supplier_id, arg_max(o_orderkey % 4, (o_orderdate, o_orderkey)) AS pages FROM orders GROUP BY 1),
 con2 AS (SELECT supplier_id, bool_or(value <> '') AS has_email, bool_or(contact_id % 6 = 0) AS has_phone FROM contact GROUP BY 1), cap2 AS (SELECT l_suppkey AS supplier_id, bool_or(published) AS has_capability FROM edges GROUP BY 1),
-place AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS supplier_id, c_nationkey AS city FROM customer WHERE c_custkey % 4 = 1),
+place AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS supplier_id, c_nationkey AS city FROM customer),
 loc2 AS (SELECT supplier_id, bool_or(city = s_nationkey) AS city_match FROM place JOIN supplier ON s_suppkey = supplier_id GROUP BY 1), wait2 AS (SELECT supplier_id, count(*) FILTER (state = 'UNREVIEWED') AS waiting FROM fact GROUP BY 1),
 flags AS (SELECT s_suppkey AS supplier_id, coalesce(pages, 0) AS pages, CASE WHEN pages >= 2 THEN 'full' WHEN pages = 1 THEN 'partial' ELSE 'failed' END AS crawl, coalesce(has_email, false) AS has_email, coalesce(has_phone, false) AS has_phone,
   coalesce(has_capability, false) AS has_capability, city_match IS NOT NULL AS has_location, coalesce(city_match, false) AS city_match, NOT coalesce(city_match, true) AS city_conflict, coalesce(waiting, 0) AS waiting
@@ -396,7 +396,7 @@ flags AS (SELECT s_suppkey AS supplier_id, coalesce(pages, 0) AS pages, CASE WHE
 def flags(t: Tables) -> DataFrame:
     n = t.supplier.count()
     con = contacts(t).select("supplier_id", F.col("value").alias("email"), F.when(F.col("contact_id") % 6 == 0, "506-555-0100").otherwise("").alias("phone"))
-    places = t.customer.where("c_custkey % 4 = 1").select((F.col("c_custkey") % n).alias("supplier_id"), F.col("c_nationkey").cast("string").alias("city"))
+    places = t.customer.select((F.col("c_custkey") % n).alias("supplier_id"), F.col("c_nationkey").cast("string").alias("city"))
     suppliers = t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").cast("string").alias("city"))
     return rp.supplier_flags(suppliers, runs(t), con, edges(t).select(F.col("l_suppkey").alias("supplier_id"), "published"), places, ad.review_facts(facts_input(t)))
 
@@ -442,12 +442,12 @@ def a9(t):
     return rows.select("n_nationkey", rp.percent(F.col("k"), F.col("n"), "100.0%").alias("success"), rp.percent(F.col("k"), F.col("n")).alias("covered"))
 
 
-ADDRESSES_SQL = """addr AS (SELECT l_suppkey AS supplier_id, 'No. ' || l_linenumber || ' Road ' || l_partkey % 9 AS address, (l_partkey % 5)::VARCHAR AS city, CASE WHEN l_partkey % 3 = 0 THEN 'E1A ' || l_partkey % 9 || 'B2' ELSE '' END AS postal, l_orderkey * 8 + l_linenumber AS seq, l_partkey AS pk FROM lineitem WHERE l_partkey % 10 < 3),
+ADDRESSES_SQL = """addr AS (SELECT l_suppkey AS supplier_id, 'No. ' || l_linenumber || ' Road ' || l_partkey % 9 AS address, (l_partkey % 5)::VARCHAR AS city, CASE WHEN l_partkey % 3 = 0 THEN 'E1A ' || l_partkey % 9 || 'B2' ELSE '' END AS postal, l_orderkey * 8 + l_linenumber AS seq, l_partkey AS pk FROM lineitem),
 one AS (SELECT supplier_id, address, city, postal, min(seq) AS seq FROM addr GROUP BY 1, 2, 3, 4),
 ranked AS (SELECT *, coalesce(nullif(replace(postal, ' ', ''), ''), lower(address)) AS place FROM one),
-once AS (SELECT supplier_id, place, min(seq) AS seq, arg_max(address, seq) AS address, arg_min(city, seq) AS city, count(*) - 1 AS updates FROM ranked GROUP BY 1, 2),
+once AS (SELECT supplier_id, place, min(seq) AS seq, arg_max(address, (seq, address)) AS address, arg_min(city, (seq, city)) AS city, count(*) - 1 AS updates FROM ranked GROUP BY 1, 2),
 near AS (SELECT once.*, city = s_nationkey::VARCHAR AS here FROM once JOIN supplier ON s_suppkey = supplier_id),
-found AS (SELECT *, CASE WHEN here AND row_number() OVER (PARTITION BY supplier_id, here ORDER BY seq) = 1 THEN 'FILLED' ELSE 'ADDED' END AS outcome FROM near)"""
+found AS (SELECT *, CASE WHEN here AND row_number() OVER (PARTITION BY supplier_id, here ORDER BY seq, place) = 1 THEN 'FILLED' ELSE 'ADDED' END AS outcome FROM near)"""
 
 
 @query(
@@ -457,7 +457,7 @@ found AS (SELECT *, CASE WHEN here AND row_number() OVER (PARTITION BY supplier_
     UNION ALL SELECT s_suppkey, s_name, s_nationkey::VARCHAR, 'KEPT', 0 FROM supplier WHERE s_acctbal < 0""",
 )
 def r11(t):
-    line, pk = t.lineitem.where("l_partkey % 10 < 3"), F.col("l_partkey")
+    line, pk = t.lineitem, F.col("l_partkey")
     rows = line.select(
         F.col("l_suppkey").alias("supplier_id"), F.concat(F.lit("No. "), F.col("l_linenumber").cast("string"), F.lit(" Road "), (pk % 9).cast("string")).alias("address"), (pk % 5).cast("string").alias("city"),
         F.when(pk % 3 == 0, F.concat(F.lit("E1A "), (pk % 9).cast("string"), F.lit("B2"))).otherwise("").alias("postal"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
@@ -512,15 +512,18 @@ def r15(t):
 
 @query(
     "r16_recall_diagnosis",
-    """WITH f AS (SELECT p_partkey AS k, p_brand AS raw_value, p_partkey AS seq FROM part WHERE p_size > 25), host AS (SELECT page_id % 50 AS supplier_id, page_id, url, substr(html, 1, 250) AS s FROM pages),
-    own AS (SELECT k % 50 AS supplier_id, string_agg(raw_value, '|' ORDER BY seq) AS v FROM f WHERE k % 3 = 0 AND k % 50 < 20 GROUP BY 1),
-    sample AS (SELECT supplier_id, string_agg(url || ': ' || s, '|' ORDER BY page_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY page_id) AS rn FROM host) WHERE rn <= 3 GROUP BY 1)
+    """WITH n AS (SELECT count(*) AS n FROM supplier), host AS (SELECT page_id % n AS supplier_id, page_id, url, substr(html, 1, 250) AS s FROM pages, n),
+    own AS (SELECT p_partkey % n AS supplier_id, string_agg(p_brand, '|' ORDER BY p_partkey) AS v FROM part, n WHERE p_size = 50 GROUP BY 1),
+    sample AS (SELECT supplier_id, string_agg(url || ': ' || s, '|' ORDER BY page_id) AS v
+      FROM (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY page_id) AS rn FROM host) WHERE rn <= 3 GROUP BY 1)
     SELECT sample.supplier_id, coalesce(own.v, '') AS capabilities, CASE WHEN own.v IS NULL THEN sample.v ELSE '' END AS samples FROM sample LEFT JOIN own ON own.supplier_id = sample.supplier_id""",
 )
 def r16(t):
-    pages = t.pages.select((F.col("page_id") % 50).alias("supplier_id"), "page_id", F.col("url").alias("title"), F.col("html").alias("text"))
+    """Pages and parts of the largest size as the pages and capabilities of suppliers in turn."""
+    n = t.supplier.count()
+    pages = t.pages.select((F.col("page_id") % n).alias("supplier_id"), "page_id", F.col("url").alias("title"), F.col("html").alias("text"))
     k = F.col("p_partkey")
-    facts = t.part.where((F.col("p_size") > 25) & (k % 3 == 0) & (k % 50 < 20)).select((k % 50).alias("supplier_id"), F.lit("CAPABILITY").alias("claim_type"), F.col("p_brand").alias("raw_value"), k.alias("seq"))
+    facts = t.part.where("p_size = 50").select((k % n).alias("supplier_id"), F.lit("CAPABILITY").alias("claim_type"), F.col("p_brand").alias("raw_value"), k.alias("seq"))
     return rp.recall_diagnosis(pages, facts).select("supplier_id", F.array_join("capabilities", "|").alias("capabilities"), F.array_join("samples", "|").alias("samples"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import anti_join, first_per_key, latest_per_key, paged, rank_within, semi_join_any, upsert
+from quarry.operators.relational import anti_join, first_per_key, first_with_one, latest_per_key, paged, rank_within, semi_join_any, upsert
 from quarry.plans.registry import Tables, query
 
 EDGES_SQL = """edges AS (
@@ -65,12 +65,14 @@ def s9(t):
 
 @query(
     "k2_upsert",
-    "SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 'created' WHEN n.k IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey AS k, s_acctbal + 1 AS v FROM supplier WHERE s_suppkey % 2 = 0) n ON o.k = n.k",
+    """WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+    SELECT k, coalesce(n.v, o.v) AS v, CASE WHEN o.v IS NULL THEN 'created' WHEN n.v IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN n USING (k)""",
 )
 def k2(t):
-    old = t.supplier.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    new = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") + 1).alias("v"))
-    return upsert(old, new, ["k"])
+    """Customers' dearest orders before 1996, brought up to date by those made since."""
+    dearest = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    since = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")
+    return upsert(dearest(t.orders.where(~since)), dearest(t.orders.where(since)), ["k"])
 
 
 @query("k3_conditional_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 100000 THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -348,12 +350,8 @@ def w1(t):
 )
 def w2(t):
     """The first three of each supplier; when none of them is of the wanted kind, the best of that kind takes the third place."""
-    by = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    ranked = t.lineitem.withColumn("rn", F.row_number().over(by))
-    best = F.min(F.when(F.col("l_returnflag") == "R", F.col("rn"))).over(Window.partitionBy("l_suppkey"))
-    ranked = ranked.withColumn("best", best)
-    keep = F.when(F.col("best").isNull() | (F.col("best") <= 3), F.col("rn") <= 3).otherwise((F.col("rn") <= 2) | (F.col("rn") == F.col("best")))
-    return ranked.where(keep).select("l_suppkey", "l_orderkey", "l_linenumber", F.least("rn", F.lit(3)).alias("slot"))
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return first_with_one(t.lineitem, ["l_suppkey"], order, F.col("l_returnflag") == "R").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rn").alias("slot"))
 
 
 @query("w3_first_seen", "SELECT text_key, min(doc_id) AS doc_id FROM (SELECT md5(lower(trim(text))) AS text_key, doc_id FROM documents) GROUP BY 1")
