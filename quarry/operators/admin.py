@@ -83,18 +83,33 @@ def manual_outcomes(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return made.join(domains, "_d", "left").join(names, ["_n", "_c"], "left").select("row_id", outcome.alias("outcome"))
 
 
-def seed_matches(seeds: DataFrame, existing: DataFrame) -> DataFrame:
-    """(seed_id, supplier_id): companies whose domain is the seed's, or whose name holds the seed's name, without case.
+def _grams(text: Column, length: int) -> Column:
+    """All substrings of that length, none for shorter texts."""
+    n = F.length(text) - (length - 1)
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(length)))).otherwise(F.array().cast("array<string>"))
+
+
+def names_within(seeds: DataFrame, existing: DataFrame, gram: int = 3) -> DataFrame:
+    """seeds (seed_name) with existing (supplier_id, name), both in lower case -> (seed_name, supplier_id) where the name holds the seed's name.
 
-    Names meet by words: a name that holds the seed's holds its longest word, or a word with that one inside where the seed begins or ends within a word; for those the words' endings and beginnings count too.
-    A seed's words are few, so no word brings all pairs of a table unless all companies share it.
+    A seed meets names by one of its grams only: the one that the fewest names hold, a name's repeats counted once. Names shorter than a gram meet by
+    their whole text. Seeds none of whose grams is known have no match. Blank seed names match nothing.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    longest = F.element_at(F.array_sort(F.transform(words(F.col("name")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    asked = seeds.select("seed_id", F.lower(strip(F.col("name"))).alias("_seed"), F.lower("domain").alias("_domain"), longest.alias("_word"))
-    inner = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda k: F.substr(w, i, k))))
-    held = F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("name")), inner))))
-    by_name = existing.select("supplier_id", F.lower("name").alias("_name"), held.alias("_word")).join(asked, "_word").where(F.contains("_name", F.col("_seed"))).select("seed_id", "supplier_id")
+    asked = seeds.where(strip(or_empty(F.col("seed_name"))) != "").select("seed_name").distinct()
+    parts = asked.select("seed_name", F.explode(F.array_distinct(F.when(F.length("seed_name") >= gram, _grams(F.col("seed_name"), gram)).otherwise(F.array("seed_name")))).alias("_gram"))
+    held = F.array_distinct(F.flatten(F.array(*[_grams(F.col("name"), n) for n in range(1, gram + 1)])))
+    wanted = parts.select("_gram").distinct()
+    known = existing.select("supplier_id", "name", F.explode(held).alias("_gram")).join(wanted, "_gram", "left_semi")
+    spread = known.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    all_known = parts.join(spread, "_gram", "left").groupBy("seed_name").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all"))
+    return known.join(all_known.where("_all").drop("_all"), "_gram").where(F.contains("name", F.col("seed_name"))).select("seed_name", "supplier_id").distinct()
+
+
+def seed_matches(seeds: DataFrame, existing: DataFrame) -> DataFrame:
+    """(seed_id, supplier_id): companies whose domain is the seed's, or whose name holds the seed's name, without case. Equal names and domains of seeds are sought once; blank ones match nothing."""
+    asked = seeds.select("seed_id", F.lower(strip(F.col("name"))).alias("seed_name"), F.lower("domain").alias("_domain"))
+    within = names_within(asked, existing.select("supplier_id", F.lower("name").alias("name")))
+    by_name = asked.join(within, "seed_name").select("seed_id", "supplier_id")
     by_domain = existing.where(or_empty(F.col("domain")) != "").select("supplier_id", F.lower("domain").alias("_domain")).join(asked, "_domain").select("seed_id", "supplier_id")
     return by_name.unionByName(by_domain).distinct()
 

@@ -118,3 +118,34 @@ def profile_view(suppliers: DataFrame, children: dict[str, DataFrame]) -> DataFr
         name = next(c for c in part.columns if c != "supplier_id")
         out = out.join(part, "supplier_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
     return out
+
+
+#: Flags of a profile, with how grave each is (fixed values).
+QA_FLAGS = {"CONTRADICTORY_PRIMARY_LOCATIONS": "WARNING", "DUPLICATE_CONTACT_EMAIL": "WARNING", "UNSUPPORTED_CAPABILITY_CLAIMS": "WARNING", "THIRD_PARTY_EVIDENCE_MENTION": "CRITICAL"}
+
+
+def flagged_claims(claims: DataFrame) -> DataFrame:
+    """claims (supplier_id, claim_id, claim_type, review_state, validation_reason) -> (supplier_id, claim_id, code): rejected capabilities, and claims whose reason speaks of third parties or subcontracting. A claim may have both."""
+    refused = (F.col("claim_type") == "CAPABILITY") & F.col("review_state").isin("REJECTED", "AUTO_REJECTED")
+    foreign = F.contains("validation_reason", F.lit("third-party")) | F.contains("validation_reason", F.lit("subcontracted"))
+    codes = F.array_compact(F.array(F.when(refused, "UNSUPPORTED_CAPABILITY_CLAIMS"), F.when(foreign, "THIRD_PARTY_EVIDENCE_MENTION")))
+    return claims.select("supplier_id", "claim_id", F.explode(codes).alias("code"))
+
+
+def profile_qa(locations: DataFrame, contacts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Flags of all profiles that need a look: (supplier_id, code, severity, n, detail).
+
+    locations (supplier_id, location_type): more than two, of which n > 1 are head offices. contacts (supplier_id, normalized_email, email): an address
+    that n contacts repeat after its first, without case, the normalized one before the other; detail is the address. claims as in flagged_claims,
+    which tells the claims themselves: n of them. Null and empty addresses are none. Each of the four is counted in each task before its shuffle.
+    """
+    head = F.count_if(F.col("location_type") == "HEADQUARTERS")
+    places = locations.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("_all"), head.alias("n")).where("_all > 2 and n > 1")
+    mail = F.lower(F.coalesce(F.nullif(F.col("normalized_email"), F.lit("")), F.nullif(F.col("email"), F.lit(""))))
+    twice = contacts.withColumn("detail", mail).where("detail is not null").groupBy("supplier_id", "detail").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    told = flagged_claims(claims).groupBy("supplier_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    flags = places.select("supplier_id", F.lit("CONTRADICTORY_PRIMARY_LOCATIONS").alias("code"), "n", none.alias("detail"))
+    flags = flags.unionByName(twice.select("supplier_id", F.lit("DUPLICATE_CONTACT_EMAIL").alias("code"), "n", "detail")).unionByName(told.withColumn("detail", none))
+    severity = F.create_map(*[F.lit(x) for pair in QA_FLAGS.items() for x in pair])[F.col("code")]
+    return flags.select("supplier_id", "code", severity.alias("severity"), "n", "detail")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import or_empty, strip
+from quarry.operators.claims import usable_email, usable_phone
 
 APPROVED = ("APPROVED", "AUTO_APPROVED", "VERIFIED")
 #: The shares, in percent, that gates ask for, and the most facts a supplier may leave to review.
@@ -65,6 +66,75 @@ def coverage(flags: DataFrame) -> DataFrame:
     )
 
 
+#: States of facts that count as published (fixed values).
+PUBLISHED = ("APPROVED", "AUTO_APPROVED", "HUMAN_APPROVED", "VERIFIED")
+#: The counts of a batch report by state of facts (fixed values).
+BATCH_STATES = {
+    "auto_approved": ("AUTO_APPROVED", "APPROVED"), "auto_rejected": ("AUTO_REJECTED",), "human_review": ("HUMAN_REVIEW", "UNREVIEWED"),
+    "human_approved": ("HUMAN_APPROVED", "VERIFIED"), "human_rejected": ("HUMAN_REJECTED", "REJECTED"), "published": PUBLISHED,
+}
+#: What a batch's suppliers are said to have, beside contacts, by type of fact.
+BATCH_TYPES = {"with_capability": "CAPABILITY", "with_location": "LOCATION"}
+
+
+def batch_report(batches: DataFrame, runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """batches (supplier_id, batch), runs (supplier_id, run_id, started_at, pages), facts (supplier_id, claim_type, review_state, n_claims, value) -> a row for each batch.
+
+    Suppliers by crawl class of their latest run, its pages, claims and facts, facts by state, certifications, suppliers with each kind of fact and
+    with a contact that quote requests can go to, averages and shares as text, and the four gates: full crawls, usable contacts, capabilities in
+    percent, and facts that wait for a person by supplier. value is a contact's normalized value, else its raw one. Types that begin with CONTACT are contacts.
+    Facts become one row for each supplier by partial sums, so a supplier of very many facts is no burden.
+    """
+    kind, value, c = F.col("claim_type"), or_empty(F.col("value")), lambda x: F.count_if(x)
+    contact, mail = kind.startswith("CONTACT"), F.contains(F.col("value"), F.lit("@"))
+    usable = F.when(mail, usable_email(value, F.lit(None), F.lit(""))).otherwise(usable_phone(value))
+    own = facts.groupBy("supplier_id").agg(
+        F.sum("n_claims").alias("claims"), F.count(F.lit(1)).alias("facts"), *[c(F.col("review_state").isin(*states)).alias(name) for name, states in BATCH_STATES.items()],
+        c(kind == "CERTIFICATION").alias("certifications"), *[F.bool_or(kind == t).alias(name) for name, t in BATCH_TYPES.items()],
+        F.bool_or(contact).alias("with_contact"), F.bool_or(contact & F.coalesce(mail, F.lit(False))).alias("with_email"),
+        F.bool_or(contact & ~F.coalesce(mail, F.lit(False))).alias("with_phone"), F.bool_or(contact & usable).alias("with_usable"),
+    )
+    pages = runs.groupBy("supplier_id").agg(F.max_by("pages", F.struct("started_at", "run_id")).alias("pages"))
+    each = batches.join(pages, "supplier_id", "left").join(own, "supplier_id", "left").withColumn("crawl", crawl_class(F.col("pages")))
+    sums = ["pages", "claims", "facts", *BATCH_STATES, "certifications"]
+    flags = ["with_contact", "with_usable", "with_email", "with_phone", *BATCH_TYPES]
+    out = each.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("suppliers"), *[c(F.col("crawl") == x).alias(x) for x in ("full", "partial", "failed")],
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums], *[c(F.coalesce(x, F.lit(False))).alias(x) for x in flags],
+    )
+    n = F.col("suppliers")
+    return out.withColumns(
+        {
+            "average_pages": F.format_string("%.2f", F.col("pages") / n), "average_review": F.format_string("%.2f", F.col("human_review") / n),
+            **{f"{x}_pct": percent(F.col(x), n) for x in ("full", "partial", "failed", *flags)},
+            "crawl_gate": share(F.col("full"), n) >= GATES["crawl"], "contact_gate": share(F.col("with_usable"), n) >= GATES["contact"],
+            "capability_gate": share(F.col("with_capability"), n) >= GATES["capability"], "review_gate": F.col("human_review") <= GATES["review"] * n,
+        }
+    )
+
+
+def review_by_type(batches: DataFrame, facts: DataFrame) -> DataFrame:
+    """(batch, category, n): facts that wait for a person, by batch and type, all kinds of contacts as CONTACT."""
+    category = F.when(F.col("claim_type").startswith("CONTACT"), "CONTACT").otherwise(F.col("claim_type"))
+    waiting = facts.where(F.col("review_state").isin(*BATCH_STATES["human_review"])).groupBy("supplier_id", category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return waiting.join(batches.select("supplier_id", "batch"), "supplier_id").groupBy("batch", "category").agg(F.sum("n").alias("n"))
+
+
+def report_changes(before: DataFrame, after: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Two reports, side by side: (key, count, before, after, change). A key that one of them lacks counts as zeros there."""
+    long = lambda report, name: report.unpivot(key, counts, "count", name)
+    both = long(before, "before").join(long(after, "after"), [key, "count"], "full_outer")
+    a, b = F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))
+    return both.select(key, "count", a.alias("before"), b.alias("after"), (b - a).alias("change"))
+
+
+def city_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """locations (supplier_id, city) before and after a rebuild -> (city, before, after): different suppliers of each city, without case."""
+    marked = before.select("supplier_id", F.lower("city").alias("city"), F.lit("before").alias("_when")).unionByName(after.select("supplier_id", F.lower("city").alias("city"), F.lit("after").alias("_when")))
+    n = lambda when: F.countDistinct(F.when(F.col("_when") == when, F.col("supplier_id"))).alias(when)
+    return marked.groupBy("city").agg(n("before"), n("after"))
+
+
 def operational_metrics(suppliers: DataFrame, jobs: DataFrame, contacts: DataFrame, capabilities: DataFrame) -> DataFrame:
     """One row: suppliers, jobs and finished jobs, with the shares of finished jobs, of suppliers with a contact and of suppliers with a capability."""
     out = suppliers.agg(F.count(F.lit(1)).alias("suppliers"))

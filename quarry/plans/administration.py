@@ -425,6 +425,91 @@ def r7(t):
     return rp.tally(flags(t).select("crawl"), "crawl", ["full", "partial", "failed"])
 
 
+BATCH_SQL = f"""{CLAIMS_SQL}, {FACTS_SQL}, {CONTACTS_SQL}, run AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS supplier_id, arg_max(o_orderkey % 4, (o_orderdate, o_orderkey)) AS pages FROM orders GROUP BY 1),
+every AS (SELECT supplier_id, 'CAPABILITY' AS claim_type, state, n, NULL AS value FROM fact UNION ALL SELECT supplier_id, 'CONTACT_EMAIL', CASE contact_id % 4 WHEN 0 THEN 'HUMAN_REVIEW' WHEN 1 THEN 'AUTO_REJECTED' WHEN 2 THEN 'VERIFIED' ELSE 'REJECTED' END, 1,
+  CASE WHEN contact_type = 'OTHER' THEN 'hr@mail.example' WHEN value <> '' THEN value ELSE '506-555-0' || lpad((contact_id % 900)::VARCHAR, 3, '0') END FROM contact),
+own AS (SELECT supplier_id, sum(n) AS claims, count(*) AS facts, count(*) FILTER (state IN ('AUTO_APPROVED', 'APPROVED')) AS auto_approved, count(*) FILTER (state = 'AUTO_REJECTED') AS auto_rejected, count(*) FILTER (state IN ('HUMAN_REVIEW', 'UNREVIEWED')) AS human_review,
+  count(*) FILTER (state = 'VERIFIED') AS human_approved, count(*) FILTER (state = 'REJECTED') AS human_rejected, count(*) FILTER (state IN ('AUTO_APPROVED', 'APPROVED', 'VERIFIED')) AS published, bool_or(value IS NOT NULL) AS contact, bool_or(value NOT LIKE 'hr@%') AS usable,
+  bool_or(value LIKE '%@%') AS email, bool_or(value NOT LIKE '%@%') AS phone, bool_or(claim_type = 'CAPABILITY') AS capability FROM every GROUP BY 1),
+sup AS (SELECT s_suppkey AS supplier_id, CASE WHEN s_acctbal < 5000 THEN 'first' ELSE 'second' END AS batch FROM supplier)"""
+COUNTS = ["suppliers", "full", "partial", "failed", "pages", "claims", "facts", "auto_approved", "auto_rejected", "human_review", "human_approved", "human_rejected", "published", "certifications", "with_contact", "with_usable", "with_email", "with_phone", "with_capability", "with_location"]
+_SUMS = ", ".join(f"coalesce(sum({x}), 0)::BIGINT AS {x}" for x in COUNTS[4:13])
+_SHARES = ", ".join(f"printf('%.1f', floor(1000.0 * {x} / suppliers + 0.5) / 10) || '%' AS {x}_pct" for x in COUNTS[1:4] + COUNTS[14:])
+
+
+@query(
+    "r7_batches",
+    f"""WITH {BATCH_SQL}, x AS (SELECT batch, count(*) AS suppliers, count(*) FILTER (pages >= 2) AS "full", count(*) FILTER (pages = 1) AS partial, count(*) FILTER (coalesce(pages, 0) = 0) AS failed, {_SUMS}, 0::BIGINT AS certifications, count(*) FILTER (contact) AS with_contact, count(*) FILTER (usable) AS with_usable,
+      count(*) FILTER (email) AS with_email, count(*) FILTER (phone) AS with_phone, count(*) FILTER (capability) AS with_capability, 0::BIGINT AS with_location FROM sup LEFT JOIN run USING (supplier_id) LEFT JOIN own USING (supplier_id) GROUP BY 1)
+    SELECT *, printf('%.2f', floor(100.0 * pages / suppliers + 0.5) / 100) AS average_pages, printf('%.2f', floor(100.0 * human_review / suppliers + 0.5) / 100) AS average_review, {_SHARES.replace("* full /", '* "full" /')}, 100 * "full" >= 85 * suppliers AS crawl_gate, 100 * with_usable >= 80 * suppliers AS contact_gate,
+      100 * with_capability >= 80 * suppliers AS capability_gate, human_review <= 8 * suppliers AS review_gate FROM x""",
+)
+def r7_batches(t):
+    """Two batches of suppliers by their balance, with all counts, shares and gates."""
+    return rp.batch_report(batches(t), runs(t), batch_facts(t))
+
+
+@query("r7_review_by_type", f"WITH {BATCH_SQL} SELECT batch, CASE WHEN claim_type LIKE 'CONTACT%' THEN 'CONTACT' ELSE claim_type END AS category, count(*) AS n FROM every JOIN sup USING (supplier_id) WHERE state IN ('HUMAN_REVIEW', 'UNREVIEWED') GROUP BY 1, 2")
+def r7_review(t):
+    return rp.review_by_type(batches(t), batch_facts(t))
+
+
+@query(
+    "r7_before_and_after",
+    f"""WITH {BATCH_SQL}, x AS (SELECT batch, count(*) AS n, coalesce(sum(published), 0) AS published, coalesce(sum(human_review), 0) AS human_review, coalesce(sum(facts), 0) AS facts FROM sup LEFT JOIN own USING (supplier_id) GROUP BY 1)
+    SELECT batch, 'suppliers' AS count, n AS before, n AS after, 0::BIGINT AS change FROM x UNION ALL SELECT batch, 'published', 0, published, published FROM x UNION ALL SELECT batch, 'human_review', facts, human_review, human_review - facts FROM x""",
+)
+def r7_changes(t):
+    """What the rules decided: the batches as if no fact had been judged, beside them as they are."""
+    facts = batch_facts(t)
+    report = lambda rows: rp.batch_report(batches(t), runs(t), rows)
+    return rp.report_changes(report(facts.withColumn("review_state", F.lit("UNREVIEWED"))), report(facts), "batch", ["suppliers", "published", "human_review"])
+
+
+def batches(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.when(F.col("s_acctbal") < 5000, "first").otherwise("second").alias("batch"))
+
+
+def batch_facts(t: Tables) -> DataFrame:
+    """Capabilities as facts, and contacts: personal offices, addresses, or numbers where there is no address."""
+    known = ad.review_facts(facts_input(t)).select("supplier_id", "claim_type", "review_state", "n_claims", F.lit(None).cast("string").alias("value"))
+    k, number = F.col("contact_id"), F.concat(F.lit("506-555-0"), F.lpad((F.col("contact_id") % 900).cast("string"), 3, "0"))
+    state = F.element_at(F.array(*map(F.lit, ("HUMAN_REVIEW", "AUTO_REJECTED", "VERIFIED", "REJECTED"))), (k % 4 + 1).cast("int"))
+    value = F.when(F.col("contact_type") == "OTHER", "hr@mail.example").when(F.col("value") != "", F.col("value")).otherwise(number)
+    return known.unionByName(contacts(t).select("supplier_id", F.lit("CONTACT_EMAIL").alias("claim_type"), state.alias("review_state"), F.lit(1).cast("long").alias("n_claims"), value.alias("value")))
+
+
+QA_SQL = f"""{CLAIMS_SQL}, said AS (SELECT supplier_id, claim_id, claim_type = 'CAPABILITY' AND review_state = 'UNREVIEWED' AS refused, seq % 7 < 2 AS elsewhere FROM claims)"""
+
+
+def qa_claims(t: Tables) -> DataFrame:
+    reason = F.when(F.col("seq") % 7 == 0, "names a third-party shop").when(F.col("seq") % 7 == 1, "the work was subcontracted").when(F.col("seq") % 7 == 2, "sound")
+    return claims(t).withColumns({"review_state": F.when(F.col("review_state") == "UNREVIEWED", "AUTO_REJECTED").otherwise(F.col("review_state")), "validation_reason": reason})
+
+
+@query(
+    "v8_profile_qa",
+    f"""WITH {QA_SQL}, n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT c_custkey % n AS supplier_id, c_mktsegment AS seg, c_nationkey AS nation FROM customer, n)
+    SELECT supplier_id, 'CONTRADICTORY_PRIMARY_LOCATIONS' AS code, 'WARNING' AS severity, count(*) FILTER (seg = 'BUILDING') AS n, NULL AS detail FROM c GROUP BY 1 HAVING count(*) > 2 AND count(*) FILTER (seg = 'BUILDING') > 1
+    UNION ALL SELECT supplier_id, 'DUPLICATE_CONTACT_EMAIL', 'WARNING', count(*) - 1, lower(seg) || '@n' || nation || '.example' FROM c WHERE seg <> 'HOUSEHOLD' GROUP BY supplier_id, seg, nation HAVING count(*) > 1
+    UNION ALL SELECT supplier_id, 'UNSUPPORTED_CAPABILITY_CLAIMS', 'WARNING', count(*), NULL FROM said WHERE refused GROUP BY 1
+    UNION ALL SELECT supplier_id, 'THIRD_PARTY_EVIDENCE_MENTION', 'CRITICAL', count(*), NULL FROM said WHERE elsewhere GROUP BY 1""",
+)
+def v8(t):
+    """Customers are places and contacts of suppliers, lines their claims."""
+    n, seg = t.supplier.count(), F.col("c_mktsegment")
+    own = t.customer.withColumn("supplier_id", F.col("c_custkey") % n)
+    places = own.select("supplier_id", F.when(seg == "BUILDING", "HEADQUARTERS").otherwise("BRANCH").alias("location_type"))
+    mail = F.concat(seg, F.lit("@N"), F.col("c_nationkey").cast("string"), F.lit(".Example"))
+    people = own.select("supplier_id", F.when(seg == "BUILDING", F.lower(mail)).when(seg == "HOUSEHOLD", "").alias("normalized_email"), F.when(seg != "HOUSEHOLD", mail).alias("email"))
+    return pr.profile_qa(places, people, qa_claims(t))
+
+
+@query("v8_flagged_claims", f"WITH {QA_SQL} SELECT supplier_id, claim_id, 'UNSUPPORTED_CAPABILITY_CLAIMS' AS code FROM said WHERE refused UNION ALL SELECT supplier_id, claim_id, 'THIRD_PARTY_EVIDENCE_MENTION' FROM said WHERE elsewhere")
+def v8_claims(t):
+    return pr.flagged_claims(qa_claims(t))
+
+
 @query(
     "r8_operational_metrics",
     f"""WITH {EDGES_SQL}, {CONTACTS_SQL}, x AS (SELECT (SELECT count(*) FROM supplier) AS suppliers, (SELECT count(*) FROM orders) AS jobs, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS done, (SELECT count(DISTINCT supplier_id) FROM contact) AS with_contact, (SELECT count(DISTINCT l_suppkey) FROM edges WHERE published) AS with_capability)
@@ -467,6 +552,16 @@ def r11(t):
     return rp.rebuilt_locations(place, place.select("supplier_id", "city"), rows)
 
 
+@query(
+    "r11_city_counts",
+    f"""WITH {ADDRESSES_SQL}, after AS (SELECT supplier_id, city FROM found UNION ALL SELECT s_suppkey, s_nationkey::VARCHAR FROM supplier WHERE s_acctbal < 0 OR s_suppkey NOT IN (SELECT supplier_id FROM found WHERE outcome = 'FILLED'))
+    SELECT coalesce(b.city, a.city) AS city, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM (SELECT s_nationkey::VARCHAR AS city, count(*) AS before FROM supplier GROUP BY 1) b FULL JOIN (SELECT city, count(DISTINCT supplier_id) AS after FROM after GROUP BY 1) a ON a.city = b.city""",
+)
+def r11_cities(t):
+    """Suppliers of each city before the rebuild of r11_location_rebuild and after it."""
+    return rp.city_counts(t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").cast("string").alias("city")), r11(t))
+
+
 @query(
     "r12_contact_refresh",
     f"""WITH {CONTACTS_SQL}, x AS (SELECT supplier_id, bool_or(value <> '' AND contact_type <> 'OTHER') AS mail, bool_or(contact_type <> 'OTHER' AND contact_id % 8 = 0) AS office FROM contact GROUP BY 1)

@@ -448,14 +448,3 @@ def r9_market_funnels(t):
 @query("r10_draft_count", "SELECT count(*) FILTER (s_acctbal <= 0) AS drafts FROM supplier")
 def r10(t):
     return t.supplier.agg(F.count_if(F.col("s_acctbal") <= 0).alias("drafts"))
-
-
-@query(
-    "v8_profile_qa",
-    "SELECT c_nationkey AS supplier_id, 'DUPLICATE_SEGMENT' AS flag, c_mktsegment AS value FROM customer GROUP BY 1, 3 HAVING count(*) > 12 UNION ALL SELECT c_nationkey, 'MANY_PLACES', count(*)::VARCHAR FROM customer GROUP BY 1 HAVING count(*) > 60",
-)
-def v8(t):
-    """Quality flags of profiles, one row for each."""
-    dup = t.customer.groupBy("c_nationkey", "c_mktsegment").count().where("count > 12").select(F.col("c_nationkey").alias("supplier_id"), F.lit("DUPLICATE_SEGMENT").alias("flag"), F.col("c_mktsegment").alias("value"))
-    many = t.customer.groupBy("c_nationkey").count().where("count > 60").select(F.col("c_nationkey").alias("supplier_id"), F.lit("MANY_PLACES").alias("flag"), F.col("count").cast("string").alias("value"))
-    return dup.unionByName(many)
