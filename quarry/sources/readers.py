@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import redacted
 from quarry.functions.urls import is_sitemap_index, sitemap_locations
 
 #: A row of the supplier import file.
@@ -23,13 +27,67 @@ def seed_list(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def sitemap_pages(sitemaps: DataFrame, most: int = 2_000) -> DataFrame:
     """sitemaps (site, xml) -> (site, url): pages listed by sitemaps that are no index, `most` of each site (the source's own limit)."""
-    from pyspark.sql import Window
-
     found = sitemaps.where(~is_sitemap_index(F.col("xml"))).select("site", F.posexplode(sitemap_locations(F.col("xml"))).alias("i", "url"))
     once = found.groupBy("site", "url").agg(F.min("i").alias("i"))
     return once.withColumn("rn", F.row_number().over(Window.partitionBy("site").orderBy("i", "url"))).where(F.col("rn") <= most).select("site", "url")
 
 
+#: Where a site's sitemap may lie, in the order of trial, and names of child maps that list no pages of interest.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
+OTHER_MAPS = "(?i)image|video|author|tag|category|attachment"
+MOST_CHILD_MAPS, MOST_SITEMAP_URLS = 5, 2_000
+
+
+def site_urls(files: DataFrame) -> DataFrame:
+    """Fetched files (site, url, status, xml) -> (site, place, url): what each site's sitemap lists, in its order, repeats included.
+
+    site is an origin such as https://a.example. The first of SITEMAP_PATHS that leads to any page is used; an index leads to the pages of its first five
+    child maps that are none of OTHER_MAPS. Files of a bad status, or that are no sitemap, list nothing. The first 2 000 addresses count (the source's
+    own limit). Of files fetched twice under one address the least text counts. A child meets its file by address; only what may be a map is parsed.
+    """
+    is_map = F.coalesce(F.col("status").between(200, 299) & F.col("xml").rlike(r"(?i)<(?:urlset|sitemapindex)[\s>]"), F.lit(False))
+    maps = files.where(is_map & F.col("url").isNotNull()).groupBy("site", "url").agg(F.min("xml").alias("xml"))
+    found = maps.select("site", F.col("url").alias("_map"), is_sitemap_index(F.col("xml")).alias("_index"), sitemap_locations(F.col("xml")).alias("_urls"))
+    rank = F.array_position(F.transform(F.array(*map(F.lit, SITEMAP_PATHS)), lambda p: F.concat("site", p)), F.col("_map"))
+    tops = found.withColumn("_try", rank).where("_try > 0")
+    wanted = F.slice(F.filter("_urls", lambda u: ~u.rlike(OTHER_MAPS)), 1, MOST_CHILD_MAPS)
+    children = tops.where("_index").select("site", "_try", F.posexplode(wanted).alias("_child", "_map"))
+    below = children.join(found.where("not _index").select("site", "_map", "_urls"), ["site", "_map"]).select("site", "_try", "_child", "_urls")
+    lists = tops.where("not _index").select("site", "_try", F.lit(-1).alias("_child"), "_urls").unionByName(below)
+    pages = lists.select("site", "_try", "_child", F.posexplode(F.slice("_urls", 1, MOST_SITEMAP_URLS)).alias("_i", "url"))
+    first = lists.where(F.size("_urls") > 0).groupBy("site").agg(F.min("_try").alias("_try"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("_child", "_i"))
+    return pages.join(first, ["site", "_try"], "left_semi").select("site", place.alias("place"), "url").where(F.col("place") <= MOST_SITEMAP_URLS)
+
+
+_OWN_FOLDER: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share, spark.checkpoint.dir; it goes when the driver's JVM ends. A local session without one gets a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="quarry-"))
+        shared = _OWN_FOLDER[0]
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def write_supplier_csv(rows: DataFrame, path: str) -> None:
+    """Rows of SUPPLIER_ROW as a file that read_supplier_csv reads back as they were; empty fields come back as nulls."""
+    rows.select(*[c.split(" ")[0] for c in SUPPLIER_ROW.split(", ")]).write.csv(path, header=True, escape='"')
+
+
+def log_events(events: DataFrame, path: str) -> None:
+    """Appends events to a log; their metadata (JSON) is written with telling values hidden, and what is no JSON object as null."""
+    append(events.withColumn("metadata", redacted(F.col("metadata"))), path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -76,3 +76,24 @@ def test_sources(spark, tmp_path):
     assert [r["url"] for r in readers.sitemap_pages(maps).collect()] == ["https://a/1"]
     readers.write_report(maps, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_site_urls(spark):
+    """The first place that leads to pages, children that are skipped, missing, refused or too many, the limit, and files that are no sitemap."""
+    loc = lambda *urls: "".join(f"<loc>{u}</loc>" for u in urls)
+    pages = lambda *urls: f"<urlset>{loc(*urls)}</urlset>"
+    rows = [
+        ("https://a", "https://a/sitemap.xml", 200, "<sitemapindex >" + loc("https://a/image.xml", *[f"https://a/{i}.xml" for i in range(7)]) + "</sitemapindex>"),
+        *[("https://a", f"https://a/{i}.xml", 404 if i == 1 else 200, pages(f"https://a/p{i}", "https://a/same")) for i in range(7) if i != 2],
+        ("https://a", "https://a/image.xml", 200, pages("https://a/no")), ("https://a", "https://a/wp-sitemap.xml", 200, pages("https://a/later")),
+        ("https://b", "https://b/sitemap.xml", 200, pages()), ("https://b", "https://b/sitemap_index.xml", 200, "<html></html>"), ("https://b", "https://b/wp-sitemap.xml", 200, pages("https://b/1")),
+        ("https://c", "https://c/sitemap.xml", 200, pages(*[f"https://c/{i}" for i in range(2500)])), ("https://c", "https://c/sitemap.xml", 200, pages(*[f"https://c/{i}" for i in range(2500)])),
+        ("https://d", "https://d/sitemap.xml", 500, pages("https://d/1")), ("https://d", None, 200, pages("https://d/1")), ("https://d", "https://d/wp-sitemap.xml", None, None),
+    ]
+    files = spark.createDataFrame(rows, "site string, url string, status int, xml string")
+    got = {}
+    for r in sorted(readers.site_urls(files).collect()):
+        got.setdefault(r["site"], []).append(r["url"])
+    assert got["https://a"] == [u for i in (0, 3, 4) for u in (f"https://a/p{i}", "https://a/same")]
+    assert got["https://b"] == ["https://b/1"] and got["https://c"] == [f"https://c/{i}" for i in range(2000)] and "https://d" not in got
+    assert readers.site_urls(files.limit(0)).count() == 0
