@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Cases of operators that queries over tables apply: records with the rows expected of them, for the tests alone.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_ROWS: dict[str, str] = {}
 
 
 class Tables:
@@ -33,3 +36,13 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+def case(name: str, sql: str):
+    """Registers f(tables) -> DataFrame over records of its own as a test."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        CASES[name], CASE_ROWS[name] = (lambda spark, sf_dir: f(Tables(spark, sf_dir))), sql
+        return f
+
+    return register
