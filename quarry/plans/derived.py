@@ -319,3 +319,81 @@ def s7(t):
     names, _ = taxonomy.tables(t.spark)
     parts = t.part.groupBy(pick(F.col("p_partkey"), list(taxonomy.CAPABILITIES)).alias("slug")).agg(F.count(F.lit(1)).alias("parts"))
     return names.join(parts, "slug", "left").select("slug", "name", F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+# Sites and locations --------------------------------------------------------------------------------------------------------------
+
+SEGMENTS = ["MACHINERY", "BUILDING", "FURNITURE", "HOUSEHOLD", "AUTOMOBILE"]
+
+
+@query(
+    "p18_site_identity",
+    f"""WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT s_suppkey AS site, {pick_sql('s_suppkey', SEGMENTS)} AS seg FROM supplier),
+    p AS (SELECT s.site, c_custkey AS seq, c_nationkey % 5 = 3 AS b, c_mktsegment IN ('BUILDING', 'FURNITURE') AS k, c_mktsegment NOT IN ('BUILDING', 'FURNITURE') AND c_mktsegment = seg AS f FROM customer, n JOIN s ON s.site = c_custkey % n WHERE c_acctbal >= 6000),
+    g AS (SELECT site, arg_min(b, seq) AS b, count(*) FILTER (k) AS k, count(*) AS n, bool_or(f) AS f FROM p GROUP BY 1)
+    SELECT s.site, CASE WHEN n IS NULL THEN 'EMPTY' WHEN b THEN 'BLOCKED' WHEN k > 0 AND 2 * k >= n THEN 'PARKED_OR_SPAM' WHEN f THEN 'OK' ELSE 'NAME_NOT_FOUND' END AS status FROM s LEFT JOIN g ON g.site = s.site""",
+)
+def p18(t):
+    """Suppliers' sites with customers' pages, some empty, guarded, or for sale."""
+    n = t.supplier.count()
+    sites = t.supplier.select(F.col("s_suppkey").alias("site"), F.concat(F.lit("The "), pick(F.col("s_suppkey"), SEGMENTS), F.lit(" Co. Ltd.")).alias("company"), F.lit(None).cast("string").alias("domain"))
+    text = F.when(F.col("c_mktsegment").isin("BUILDING", "FURNITURE"), "This domain is for sale").otherwise(F.concat(F.lit("We are "), F.lower("c_mktsegment"), F.lit(" people")))
+    shown = F.col("c_acctbal") >= 6000
+    title = F.when(nation() % 5 == 3, "Just a moment...").otherwise("Welcome")
+    pages = t.customer.select((key() % n).alias("site"), key().alias("seq"), F.when(shown, title).otherwise("").alias("title"), F.when(shown, text).alias("full_text"), F.array().cast("array<string>").alias("mailto"))
+    return site.site_identity(sites, pages)
+
+
+@query(
+    "p21_page_collections",
+    """WITH p AS (SELECT c_custkey, c_nationkey AS site, c_custkey % 4 AS folder, c_mktsegment IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') AS s, c_mktsegment IN ('HOUSEHOLD', 'BUILDING', 'FURNITURE') AS g FROM customer),
+    f AS (SELECT site, folder, count(*) AS n, count(*) FILTER (s) AS s, count(*) FILTER (g) AS g FROM p GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT c_custkey, CASE WHEN f.s > f.g AND 2 * f.s >= n THEN 'SERVICE' WHEN f.g > f.s AND 2 * f.g >= n THEN 'PRODUCT' END AS kind FROM p LEFT JOIN f ON f.site = p.site AND f.folder = p.folder""",
+)
+def p21(t):
+    """Folders of pages that speak of services, products or both."""
+    words = F.when(F.col("c_mktsegment") == "BUILDING", "services and products").when(F.col("c_mktsegment").isin("MACHINERY", "AUTOMOBILE"), "our services").otherwise("our products")
+    url = F.concat_ws("/", F.concat(F.lit("https://n"), nation().cast("string"), F.lit(".example")), F.concat(F.lit("what"), (key() % 4).cast("string")), F.concat(F.lit("p"), key().cast("string")))
+    pages = t.customer.select("c_custkey", nation().alias("site"), url.alias("url"), words.alias("content_text"))
+    return site.page_collections(pages, {"SERVICE": "service", "PRODUCT": "product"}).select("c_custkey", F.col("collection_kind").alias("kind"))
+
+
+@query(
+    "l5_publish_locations",
+    """WITH n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT c_custkey % n AS supplier_id, c_custkey AS seq, c_nationkey AS city, 'No. ' || c_custkey % 7 AS a, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey % 9 END AS p, c_custkey % 11 > 0 AND c_custkey % 13 > 0 AS ok FROM customer, n),
+    e AS (SELECT *, min(seq) OVER (PARTITION BY supplier_id, a) < seq OR (p IS NOT NULL AND min(seq) OVER (PARTITION BY supplier_id, p) < seq) AS same FROM c WHERE ok),
+    x AS (SELECT e.*, row_number() OVER (PARTITION BY supplier_id, city, same ORDER BY seq) = 1 AND city = s_nationkey AS fills FROM e JOIN supplier ON s_suppkey = supplier_id)
+    SELECT c.supplier_id, c.seq, CASE WHEN same THEN 'UPDATED_EXISTING' WHEN fills THEN 'FILLED_PLACEHOLDER' WHEN same IS NOT NULL THEN 'ADDED' ELSE 'SKIPPED' END AS outcome FROM c LEFT JOIN x ON x.seq = c.seq""",
+)
+def l5(t):
+    """Customers' addresses put into suppliers' locations, each of which begins as a placeholder."""
+    n = t.supplier.count()
+    have = t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").cast("string").alias("city"), F.lit(None).cast("string").alias("postal"), F.lit("seeded").alias("address"), F.lit(True).alias("placeholder"))
+    postal = F.when(key() % 3 == 0, F.concat(F.when(key() % 2 == 0, "E1A ").otherwise("e1a"), (nation() % 9).cast("string"), F.lit("B2")))
+    rows = t.customer.select(
+        (key() % n).alias("supplier_id"), key().alias("seq"), F.when(key() % 11 > 0, nation().cast("string")).alias("city"), postal.alias("postal"),
+        F.concat(F.when(key() % 2 == 0, "No. ").otherwise(" no. "), (key() % 7).cast("string")).alias("address"), F.when(key() % 13 == 0, "PROJECT_OR_CLIENT_LOCATION").alias("role"),
+    )
+    return et.publish_locations(have, rows).select("supplier_id", "seq", "outcome")
+
+
+DEPARTMENTS = ["24/7 Parts: ", "Sales 506-555-0111 x ", "Our sales desk. Dispatch "]
+OFFICES = ["Bay Town, NB - 1 Main St E1A 9A3. ", "Hillview NS E1A 6N5 View Map Bay Town ", "Hillview, NS ", "nothing "]
+
+
+def numbers(t):
+    """Ten digits of each customer, and the same as written."""
+    four = F.lpad((key() % 10_000).cast("string"), 4, "0")
+    return t.customer.select("c_custkey", F.concat(F.lit("506777"), four).alias("digits"), F.concat(F.lit("(506) 777-"), four).alias("written"))
+
+
+@query("n6_departments", f"SELECT c_custkey, {pick_sql('c_custkey', ['24/7 emergency · Parts', None, 'Dispatch'])} AS department FROM customer")
+def n6(t):
+    return numbers(t).select("c_custkey", site.department_of(F.concat(pick(key(), DEPARTMENTS), "written"), F.col("digits")).alias("department"))
+
+
+@query("n5_offices", f"SELECT c_custkey, {pick_sql('c_custkey', ['Bay Town', 'Bay Town', None, None])} AS office FROM customer")
+def n5(t):
+    """Towns before numbers; one of another province than the number's is none."""
+    page = F.concat(pick(key(), OFFICES), "written")
+    return numbers(t).select("c_custkey", site.office_of(page, F.col("digits"), {"Bay Town": "NB", "Hillview": "NS"}, {"506": ["NB"], "902": ["NS"]}, "NB|NS", ["800"]).alias("office"))

@@ -31,7 +31,7 @@ def _literal(v) -> str:
 
 #: Whose operators have queries over whole tables: these are tests only.
 OVER_TABLES = (
-    "f11_placeholder_address, g3_ownership, l2_address_parse, l3_known_places, l3_places_with_province, l4_role_in_evidence, n1_usable_email, n2_usable_phone, n3_contact_score, "
+    "f11_placeholder_address, g3_ownership, l2_address_parse, l3_known_places, l3_places_with_province, l4_role_in_evidence, l5_publish_locations, n1_usable_email, n2_usable_phone, n3_contact_score, n5_office_of_phone, n6_department, p18_site_identity, p21_page_collections, "
     "p19_name_tokens, p20_retail, p24_robots, p25_private_addresses, p9_sitemap, q7_attachments, s7_taxonomy, u5_n4_selection, v2_output_guard, v3_claim_context, v4_fact_evidence, "
     "v5_decision_to_state, w7_prior_decisions, w9_crawl_order"
 ).split(", ")
