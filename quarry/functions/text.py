@@ -88,8 +88,10 @@ def contact_form(raw: Column, normalized: Column) -> Column:
     # A plus sign stays a plus sign when percent escapes are decoded.
     decoded = F.coalesce(F.try_url_decode(F.replace(chosen, F.lit("+"), F.lit("%2B"))), chosen)
     mail = F.lower(strip(F.regexp_replace(F.regexp_replace(decoded, "(?i)^mailto:", ""), "(?i)^%20", "")))
-    mail = F.regexp_replace(mail, r"(?i)^(email|e-mail|contact|mail|address|to)[:\s-]*", "")
-    mail = F.regexp_replace(mail, r"(?i)\.(com|ca|org|net|co|io|biz|info|us)(phone|tel|address|fax|call|mobile|contact).*$", ".$1")
+    # A label is parted from its address by a colon or space; one run together with it shows only where a word has run into the end too. Else toby@firm.ca would lose its beginning.
+    label, ending = "(?i)^(?:email|e-mail|contact|mail|address|to)", r"(?i)\.(com|ca|org|net|co|io|biz|info|us)(phone|tel|address|fax|call|mobile|contact).*$"
+    mail = F.regexp_replace(F.when(mail.rlike(ending), F.regexp_replace(mail, label, "")).otherwise(F.regexp_replace(mail, label + r"(?=[:\s])", "")), r"^[:\s-]+", "")
+    mail = F.regexp_replace(mail, ending, ".$1")
     digits = F.regexp_replace(decoded, r"\D", "")
     return (
         F.when(F.contains(decoded, F.lit("@")) | F.contains(raw, F.lit("@")), mail)
