@@ -233,6 +233,20 @@ FUNNEL_EVENTS = {
 }
 
 
+def percent_text(part: Column, whole: Column) -> Column:
+    """100 * part / whole with one decimal, rounded as SQL's printf rounds a double: to the nearer by the double's exact value, to the even digit where it lies in the middle. Java's format rounds the shortest decimal form half up."""
+    tenths = F.expr("1000L") * part
+    low, over = F.floor(tenths / whole), 2 * F.pmod(tenths, whole)
+    low = F.when(low * whole > tenths, low - 1).when((low + 1) * whole <= tenths, low + 1).otherwise(low)
+    # In the middle, the double's error tells the side: 20 times the double as an exact sum of two, less the odd number in the middle.
+    x = 100.0 * part / whole
+    total = x * 16 + x * 4
+    side = (total - (2 * low + 1)) + (x * 4 - (total - x * 16))
+    up = F.when(over != whole, over > whole).when(side != 0, side > 0).otherwise(low % 2 == 1)
+    digits = low + up.cast("long")
+    return F.concat(F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"))
+
+
 def market_funnels(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """events (event_type, metadata JSON) -> keys, nine counts and two rates as text: one pass, summed before the shuffle.
 
@@ -242,6 +256,6 @@ def market_funnels(events: DataFrame, keys: list[str] | None = None) -> DataFram
     counts = [F.count_if(F.col("event_type") == event).alias(step) for step, event in FUNNEL_EVENTS.items()]
     status = F.get_json_object("metadata", "$.status")
     interested = F.count_if((F.col("event_type") == FUNNEL_EVENTS["responses_received"]) & F.coalesce(status == "INTERESTED", F.lit(False))).alias("interested_responses")
-    rate = lambda part, whole: F.when(F.col(whole) > 0, F.format_string("%.1f%%", 100.0 * F.col(part) / F.col(whole))).otherwise("0.0%")
+    rate = lambda part, whole: F.when(F.col(whole) > 0, F.concat(percent_text(F.col(part), F.col(whole)), F.lit("%"))).otherwise("0.0%")
     out = events.groupBy(*(keys or [])).agg(*counts, interested)
     return out.withColumns({"conversion_rate": rate("requests_sent", "searches"), "response_rate": rate("responses_received", "emails_delivered")})
