@@ -195,3 +195,26 @@ def test_likeness_is_generalised_jaccard(spark):
             if a or b:
                 errors.append(said - sum((a & b).values()) / sum((a | b).values()))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.12
+
+
+def test_jaccard_stores_no_shingles(spark, monkeypatch):
+    """What is written of the sets stays below the texts; whole sets would take more than they do."""
+    import os
+
+    from quarry.llm import jaccard
+
+    drawn = random.Random(5)
+    texts = [" ".join(f"w{drawn.randrange(50_000)}" for _ in range(400)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string").coalesce(1)
+    written = []
+    kinds = jaccard.materialize_kinds
+
+    def spy(*args):
+        out = kinds(*args)
+        written.append(sum(os.path.getsize(f"{t.quarry_path}/{f}") for t in out.values() if t.quarry_path for f in os.listdir(t.quarry_path)))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize_kinds", spy)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == {i: i for i in range(300)} | {300: 0}
+    assert sum(written) < sum(map(len, texts)) / 2
