@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row however often use names it: a named expression is copied to each place otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
@@ -86,19 +92,20 @@ def contact_form(raw: Column, normalized: Column) -> Column:
     """Normal form of an e-mail address or phone number; decoding failures leave the text as it is."""
     chosen = strip(if_blank(normalized, raw))
     # A plus sign stays a plus sign when percent escapes are decoded.
-    decoded = F.coalesce(F.try_url_decode(F.replace(chosen, F.lit("+"), F.lit("%2B"))), chosen)
+    decoded = once(chosen, lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c))
+    return once(decoded, lambda d: _contact_form(d, raw))
+
+
+def _contact_form(decoded: Column, raw: Column) -> Column:
     mail = F.lower(strip(F.regexp_replace(F.regexp_replace(decoded, "(?i)^mailto:", ""), "(?i)^%20", "")))
     # A label is parted from its address by a colon or space; one run together with it shows only where a word has run into the end too. Else toby@firm.ca would lose its beginning.
     label, ending = "(?i)^(?:email|e-mail|contact|mail|address|to)", r"(?i)\.(com|ca|org|net|co|io|biz|info|us)(phone|tel|address|fax|call|mobile|contact).*$"
-    mail = F.regexp_replace(F.when(mail.rlike(ending), F.regexp_replace(mail, label, "")).otherwise(F.regexp_replace(mail, label + r"(?=[:\s])", "")), r"^[:\s-]+", "")
+    bare = once(mail, lambda m: F.when(m.rlike(ending), F.regexp_replace(m, label, "")).otherwise(F.regexp_replace(m, label + r"(?=[:\s])", "")))
+    mail = F.regexp_replace(bare, r"^[:\s-]+", "")
     mail = F.regexp_replace(mail, ending, ".$1")
-    digits = F.regexp_replace(decoded, r"\D", "")
-    return (
-        F.when(F.contains(decoded, F.lit("@")) | F.contains(raw, F.lit("@")), mail)
-        .when(F.length(digits) == 10, digits)
-        .when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
-        .otherwise(F.lower(strip(decoded)))
-    )
+    number = lambda digits: F.when(F.length(digits) == 10, digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
+    other = F.coalesce(once(F.regexp_replace(decoded, r"\D", ""), number), F.lower(strip(decoded)))
+    return F.when(F.contains(decoded, F.lit("@")) | F.contains(raw, F.lit("@")), mail).otherwise(other)
 
 
 def fact_key(claim_type: Column, raw: Column, normalized: Column) -> Column:

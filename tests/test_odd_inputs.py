@@ -42,3 +42,9 @@ def test_rates_in_the_middle(spark):
     got = {(r["p"], r["w"]): r["text"] for r in pairs.select("p", "w", rp.percent_text(F.col("p"), F.col("w")).alias("text")).collect()}
     assert got[13, 16] == "81.2" and got[3, 16] == "18.8"
     assert all(text == f"{100.0 * p / w:.1f}" for (p, w), text in got.items())
+
+
+@pytest.mark.parametrize("name", ["n5_offices", "n6_departments", "n7_offices"])
+def test_texts_before_numbers_are_made_once(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 6
