@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls as u
-from quarry.functions.text import collapse, or_empty
+from quarry.functions.text import collapse, once, or_empty
 from quarry.model import rank_in
 
 #: Classes from the one whose pages are wanted most on.
@@ -57,12 +57,14 @@ def found_links(pages: DataFrame, keys: list[str], html: str = "html", url: str
     clean = F.regexp_replace(or_empty(F.col(html)), _NOISE, " ")
     tag = lambda i: F.regexp_extract_all(clean, F.lit(_TAG), F.lit(i))
     rows = pages.select(*keys, url, F.posexplode(F.arrays_zip(tag(1).alias("t"), tag(2).alias("a"), tag(3).alias("b"))).alias("seq", "x"))
-    kind, attributes = F.lower("x.t"), F.col("x.a")
-    href = F.btrim(_attribute(attributes, "href"))
+    attributes = F.col("x.a")
     english = (F.lower(_attribute(attributes, "rel")) == "alternate") & (F.lower(_attribute(attributes, "hreflang")) == "en")
-    rows = rows.where((href != "") & ~href.rlike(NO_PAGE) & ((kind != "link") | english))
-    text = collapse(F.regexp_replace(or_empty(F.col("x.b")), r"<[^>]*>", " "))
-    return rows.select(*keys, url, "seq", u.normalize_url(resolve(href, F.col(url))).alias("link"), F.when(kind == "a", text).otherwise("").alias("anchor")).where("link is not null")
+    # What inline makes is made once; a named expression would be copied to each of the many places that use it.
+    rows = rows.select(*keys, url, "seq", F.inline(F.array(F.struct(F.lower("x.t").alias("_kind"), F.btrim(_attribute(attributes, "href")).alias("_href"), english.alias("_english"), F.col("x.b").alias("_text")))))
+    rows = rows.where((F.col("_href") != "") & ~F.col("_href").rlike(NO_PAGE) & ((F.col("_kind") != "link") | F.col("_english")))
+    text = collapse(F.regexp_replace(or_empty(F.col("_text")), r"<[^>]*>", " "))
+    link = once(resolve(F.col("_href"), F.col(url)), u.normalize_url)
+    return rows.select(*keys, url, "seq", F.inline(F.array(F.struct(link.alias("link"), F.when(F.col("_kind") == "a", text).otherwise("").alias("anchor"))))).where("link is not null")
 
 
 def _once(links: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,3 +48,9 @@ def test_rates_in_the_middle(spark):
 def test_texts_before_numbers_are_made_once(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 6
+
+
+@pytest.mark.parametrize("name", ["p6_link_discovery", "p7_wanted_links"])
+def test_links_are_resolved_once(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 400
