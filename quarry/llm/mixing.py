@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read
+from quarry.llm.common import materialize, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,6 +84,7 @@ def mix_sources(
     sized = _placed(docs, seed, blocks)
     part = ["source", "mix_class", "mix_part"]
     counts = _placed(docs.select("doc_id", "text", "source"), seed, blocks).groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words"))
+    counts = materialize(counts, "mix-counts")  # a row for each block, read twice: the texts are not counted twice for it
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("mix_class", "mix_part").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
@@ -95,10 +96,8 @@ def mix_sources(
     )
     inside = Window.partitionBy(*part).orderBy("mix_h", "doc_id")
     ranked = sized.withColumn("mix_k", F.row_number().over(inside) - 1)
-    joined = ranked.join(
-        plan,
-        ranked["source"].eqNullSafe(F.col("p_source")) & (ranked["mix_class"] == F.col("p_mix_class")) & (ranked["mix_part"] == F.col("p_mix_part")),
-    )
+    # Class and part are never null; an equality that does not know it would put "is not null" over their expressions, and words would be counted five times more.
+    joined = ranked.join(plan, ranked["source"].eqNullSafe(F.col("p_source")) & ranked["mix_class"].eqNullSafe(F.col("p_mix_class")) & ranked["mix_part"].eqNullSafe(F.col("p_mix_part")))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     offset = _unit(F.concat_ws("|", F.lit(f"offset{seed}"), F.coalesce(F.col("source"), F.lit("\u0000"))))
     k = F.col("mix_before") + F.col("mix_k")

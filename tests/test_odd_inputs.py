@@ -7,6 +7,7 @@ from compare import TABLES, connect, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.llm.queries import QUERIES as QUERIES_OF_TRAINING
 from quarry.operators import reports as rp
 from quarry.plans import ORACLES, QUERIES
 
@@ -54,3 +55,8 @@ def test_texts_before_numbers_are_made_once(spark, name):
 def test_links_are_resolved_once(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") < 400
+
+
+def test_words_are_counted_once_for_mixing(spark):
+    plan = QUERIES_OF_TRAINING["op7_mixing"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
