@@ -1,13 +1,17 @@
 """Queries on odd rows that the given tables seldom hold, against their SQL."""
 
+import gc
 import os
 
+import pyarrow as pa
 import pytest
 from compare import TABLES, connect, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
+from quarry.functions import html
 from quarry.functions import text as tx
 from quarry.llm.queries import QUERIES as QUERIES_OF_TRAINING
+from quarry.operators import extract as ex
 from quarry.operators import reports as rp
 from quarry.plans import ORACLES, QUERIES
 
@@ -60,3 +64,20 @@ def test_links_are_resolved_once(spark, name):
 def test_words_are_counted_once_for_mixing(spark):
     plan = QUERIES_OF_TRAINING["op7_mixing"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_pages_are_read_in_small_runs():
+    pages = [f"<html><body><h1>page {i}</h1><p>{'x' * (400_000 if i % 50 == 9 else 20)}</p></body></html>" for i in range(200)]
+    out = list(ex._read(iter([(pa.array([*pages, None]), pa.array([None] * 201, pa.string())), (pa.array([], pa.string()), pa.array([], pa.string()))])))
+    assert max(map(len, out)) <= ex.READ_ROWS and len(out) > 3
+    assert [p["title"] for a in out for p in a.to_pylist()] == [*[f"page {i}" for i in range(200)], "Untitled Page"]
+
+
+def test_trees_of_pages_go_at_once():
+    gc.collect()
+    gc.disable()
+    try:
+        html.read_page("<html><body><ul><li><a href='/a'>a</a></li></ul><p>text</p></body></html>", "https://a.example/")
+        assert not [x for x in gc.get_objects() if isinstance(x, html.Node) and x.parent is not None]
+    finally:
+        gc.enable()
