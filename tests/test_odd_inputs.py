@@ -1,8 +1,10 @@
 """Queries on odd rows that the given tables seldom hold, against their SQL."""
 
 import gc
+import inspect
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import TABLES, connect, rows_of, rows_of_sql
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html
 from quarry.functions import text as tx
+from quarry.llm import media
 from quarry.llm.queries import QUERIES as QUERIES_OF_TRAINING
 from quarry.operators import extract as ex
 from quarry.operators import reports as rp
@@ -81,3 +84,12 @@ def test_trees_of_pages_go_at_once():
         assert not [x for x in gc.get_objects() if isinstance(x, html.Node) and x.parent is not None]
     finally:
         gc.enable()
+
+
+def test_corners_of_different_pictures_seldom_match():
+    rng = np.random.default_rng(5)
+    parts = [media.descriptors(media.decode(media.draw(rng.normal(size=16).tolist(), 0)))[4] for _ in range(60)]
+    bits, node = np.unpackbits(np.concatenate(parts), axis=1).astype(np.float32), np.repeat(np.arange(60), [len(p) for p in parts])
+    apart = bits @ (1 - bits).T + (1 - bits) @ bits.T
+    most = inspect.signature(media.link_images).parameters["most_apart"].default
+    assert (apart <= most)[node[:, None] != node].mean() < 1e-3
