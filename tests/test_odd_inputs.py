@@ -93,3 +93,27 @@ def test_corners_of_different_pictures_seldom_match():
     apart = bits @ (1 - bits).T + (1 - bits) @ bits.T
     most = inspect.signature(media.link_images).parameters["most_apart"].default
     assert (apart <= most)[node[:, None] != node].mean() < 1e-3
+
+
+def test_neighbours_of_corners():
+    rng = np.random.default_rng(6)
+    x, y, level = rng.uniform(0, 3000, 900), np.sort(rng.uniform(0, 3000, 900)), (rng.random(900) < 0.3).astype(int)
+    want = set()
+    for i in range(900):
+        own = np.nonzero((level == level[i]) & (np.arange(900) != i))[0]
+        want |= {(min(i, j), max(i, j)) for j in own[np.argsort((x[own] - x[i]) ** 2 + (y[own] - y[i]) ** 2)][: media.NEAR].tolist()}
+    assert set(zip(*(v.tolist() for v in media.neighbours(x, y, level)), strict=True)) == want
+    assert [len(media.neighbours(x[:n], y[:n], level[:n] * 0)[0]) for n in (0, 1, 2, 3)] == [0, 0, 1, 3]
+
+
+def test_meetings_of_different_pictures_grow_with_the_table(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, i, media.draw(rng.normal(size=16).tolist(), 0)) for i in range(300)]
+    features = media.extract(spark.createDataFrame(rows, "id long, node long, image binary")).where("kind = 1").cache()
+
+    def meetings(pairs: int) -> int:
+        sizes = [media.pair_keys(features, t, media.key_bits(pairs)).groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")) for t in range(0, media.TABLES, media.AT_ONCE)]
+        return sum(s.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] for s in sizes)
+
+    few, many = meetings(2**20), meetings(25 * 2**20)
+    assert few > 100 and 10 * many < few, (few, many)
