@@ -218,3 +218,22 @@ def test_jaccard_stores_no_shingles(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs).collect()}
     assert got == {i: i for i in range(300)} | {300: 0}
     assert sum(written) < sum(map(len, texts)) / 2
+
+
+def test_only_texts_wanted_are_shuffled(spark, monkeypatch):
+    """With more partners than go to every task the texts that no pair names still stay where they are."""
+    from quarry.llm import jaccard
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, str(i % 3)] if i < 6 else [f"{w}-{i}" for w in words])) for i in range(40)], "doc_id long, text string")
+    sets = jaccard._with_refs(docs).select("_ref", "_n", "doc_id").orderBy("doc_id").collect()
+    sketches = spark.createDataFrame([(r[0], r[1], r[2]) for r in {r["_ref"]: r for r in reversed(sets)}.values()], "ref long, n long, rep long")
+    pairs = spark.createDataFrame([(sets[0]["_ref"], sets[1]["_ref"]), (sets[1]["_ref"], sets[2]["_ref"]), (sets[0]["_ref"], sets[9]["_ref"])], "a long, b long")
+    plans, store = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, label))
+    got = []
+    for sizes in ({}, {"most_broadcast": 1}, {"most_broadcast": 1, "most_wanted": 1}):
+        got.append({(r["a"], r["b"]) for r in jaccard._verify(docs, sketches, pairs, 75, **sizes).collect()})
+    assert got == [{(sets[0]["_ref"], sets[1]["_ref"]), (sets[1]["_ref"], sets[2]["_ref"])}] * 3
+    # Each run writes turns, homes and links, in this order.
+    assert ["LeftSemi" in plan for plan in plans[2::3]] == [False, True, False]
