@@ -237,3 +237,47 @@ def test_only_texts_wanted_are_shuffled(spark, monkeypatch):
     assert got == [{(sets[0]["_ref"], sets[1]["_ref"]), (sets[1]["_ref"], sets[2]["_ref"])}] * 3
     # Each run writes turns, homes and links, in this order.
     assert ["LeftSemi" in plan for plan in plans[2::3]] == [False, True, False]
+
+
+def test_sets_that_share_by_chance_meet_no_pivot(spark, monkeypatch):
+    """Sets that have a few shingles in common and cannot be linked are told apart where they share an anchor; near copies meet."""
+    from quarry.llm import jaccard
+
+    drawn = random.Random(6)
+    shared = [f"s{i}" for i in range(20)]
+    texts = [" ".join([f"w{drawn.randrange(50_000)}" for _ in range(drawn.randrange(100, 700))] + shared) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, texts[0] + " more"), (61, "and " + texts[1])], "doc_id long, text string").coalesce(1)
+    met, store = [], jaccard.materialize
+
+    def spy(df, label="step"):
+        out = store(df, label)
+        if label == "regions":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, common_share=0.99).collect()}
+    assert got == {i: i for i in range(60)} | {60: 0, 61: 1}
+    assert met == [2]
+
+
+def test_linked_sets_share_a_piece_that_is_alike():
+    """At every size each linked pair has an anchor in common whose pieces have the same name, also across the bounds of the classes."""
+    from quarry.llm import jaccard
+
+    drawn = np.random.default_rng(7)
+    order = jaccard.Order(np.zeros(0, np.uint64))
+    for n in (1, 2, 5, 7, 40, 60, 63, 64, 70, 400, 500, 511, 513, 600, 4_090, 5_000):
+        for _ in range(20):
+            x = np.unique(drawn.integers(0, 2**64, n, dtype=np.uint64))
+            lost, won = drawn.integers(0, n // 7 + 1), drawn.integers(0, n // 7 + 1)
+            y = np.unique(np.concatenate((drawn.permutation(x)[lost:], drawn.integers(0, 2**64, won, dtype=np.uint64))))
+            if 100 * len(np.intersect1d(x, y)) < 75 * len(np.union1d(x, y)):
+                continue
+            found = False
+            for step in set(jaccard.classes_of(len(x), 75)) & set(jaccard.classes_of(len(y), 75)):
+                key, own, mark, side = (np.concatenate(c) for c in zip(*((k, o, m, np.full(len(k), i)) for i, (k, _, o, m) in enumerate(jaccard.pieces(s, order.places(s), step, 0.75) for s in (x, y))), strict=True))
+                by = np.lexsort((own, key))
+                name = jaccard.alike(key[by], own[by].astype(np.int64), mark[by], 75)
+                found |= bool(set(name[side[by] == 0]) & set(name[side[by] == 1]))
+            assert found
