@@ -27,6 +27,20 @@ def test_read_page():
     assert p["headings"] == [{"level": "h1", "text": "Steel fabrication"}]
 
 
+def test_all_links_and_menus_of_a_page():
+    links = "".join(f'<a href="/p{i}">p{i}</a>' for i in range(1_000))
+    menus = "".join(f'<ul><li><a href="/m{i}">m</a><li><a href="/n{i}">n</a></ul>' for i in range(150))
+    p = read_page(f"<body><nav>{menus}</nav><main>{links}</main></body>", "https://acme.example/")
+    assert len(p["links"]) == 1_300 and p["links"][-1] == {"href": "https://acme.example/p999", "text": "p999"}
+    assert len(p["menu_groups"]) == 150 and p["menu_groups"][-1]["links"][1]["href"] == "https://acme.example/n149"
+
+
+def test_links_without_end_tags():
+    """A link ends where the next one starts, so that the texts of many do not hold each other."""
+    p = read_page("<body>" + "".join(f'<a href="/p{i}">p{i} ' for i in range(1_000)), "https://acme.example/")
+    assert [x["text"] for x in p["links"]] == [f"p{i}" for i in range(1_000)]
+
+
 def test_parse_pages(parsed):
     got = {r["page_id"]: r for r in parsed.collect()}
     assert got[2]["page"]["title"] == "Untitled Page" and got[2]["page"]["full_text"] == ""
